@@ -162,9 +162,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _normed(reduce(DataFrame.unionByName, parts)).distinct()
 
 
-_DAY_SQL = """
-select src_field, row_id, strftime(day, '%Y-%m-%d') as norm from (
-  select distinct src_field, row_id, case
+#: The day of a stripped text t by the order day_order, as SQL.
+SQL_DAY = """case
     when regexp_full_match(t, '\\d{8}') then try_strptime(t, '%Y%m%d')
     when regexp_full_match(t, '\\d{10}') then make_timestamp(cast(t as bigint) * 1000000)
     when regexp_full_match(t, '\\d{13}') then make_timestamp(cast(t as bigint) * 1000)
@@ -172,7 +171,10 @@ select src_field, row_id, strftime(day, '%Y-%m-%d') as norm from (
     when regexp_full_match(t, '\\d{1,2}[./]\\d{1,2}[./]\\d{4}')
       then case day_order when 'dmy' then try_strptime(replace(t, '.', '/'), '%d/%m/%Y')
                           else try_strptime(replace(t, '.', '/'), '%m/%d/%Y') end
-    else try_strptime(t, ['%d-%b-%Y', '%b %d, %Y']) end as day
+    else try_strptime(t, ['%d-%b-%Y', '%b %d, %Y']) end"""
+_DAY_SQL = f"""
+select src_field, row_id, strftime(day, '%Y-%m-%d') as norm from (
+  select distinct src_field, row_id, {SQL_DAY} as day
   from (select x.*, trim(raw, e' \\t\\n\\r') as t, day_order from x join feeds using (feed))) where day is not null"""
 
 
