@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewright.functions.text import clean_ticker
+from tidewright.llm.mixing import mixed, reached_shares
 from tidewright.llm.nearest_time import nearest_in_time
+from tidewright.llm.tokens import token_ids
 from tidewright.llm.top_n import top_items
 from tidewright.operators.timestamps import offset_intervals, read_times
 from tidewright.plans.problems import SQL_DAY, SQL_TICKER
@@ -65,3 +67,23 @@ select book, period, ticker from r where rn <= 5""")
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     picks = table(spark, folder, "portfolio").withColumn("ticker", clean_ticker(F.col("ticker")))
     return top_items(picks, ("book", "period"), "ticker", "score", 5).select("book", "period", "ticker")
+
+
+@catalogue.add("p7_ids")
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return token_ids(table(spark, folder, "documents"), "doc_id", "text")
+
+
+_MIX = dict(row_id="doc_id", text="text", source="source", seed=7)
+
+
+@catalogue.add("p8_mix")
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix itself, shuffled: the documents' columns, copy_no and shuffle_key."""
+    return mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), **_MIX)
+
+
+@catalogue.add("p8_shares")
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached shares of the mix by source."""
+    return reached_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), **_MIX)
