@@ -4,11 +4,10 @@ import re
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions.ticks import iso_day, iso_instant
-from tidewright.operators.timestamps import offset_intervals, read_times
+from tidewright.operators.timestamps import offset_intervals, read_days, read_times
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 ABBR = {"EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "GMT": 0, "BST": 1, "CET": 1, "CEST": 2, "JST": 9, "IST": 5.5, "UTC": 0}
@@ -114,20 +113,24 @@ def test_defined_cases(spark):
     assert {i: got[i] for i in got} == {i: tuple(c[3:]) for i, c in enumerate(CASES)}
 
 
-@pytest.mark.parametrize("table,row_id,fields", [("news", "news_id", ("date", "date_only")), ("prices", "price_id", ("date_only",))])
-def test_all_test_texts_against_plain_reader(spark, data, table, row_id, fields):
-    from tidewright.plans.problems import dated
+def test_all_test_texts_against_plain_reader(spark, data):
+    from tidewright.plans.problems import days, instants
     from tidewright.sources.tables import table as load
 
     feeds = {r.feed: (r.day_order, r.tz_name) for r in load(spark, data, "feeds").collect()}
-    got = {}
-    for r in dated(spark, data, table, row_id, fields).select("src_field", "row_id", iso_instant(F.col("utc")).alias("at"), iso_day(F.col("day")).alias("day")).collect():
-        got[r.src_field.split(".")[1], r.row_id] = (r["at"], r.day)
-    for r in load(spark, data, table).collect():
-        for f in fields:
-            at, day = plain(r[f], *feeds[r.feed])
-            want = (at and at.strftime("%Y-%m-%dT%H:%M:%S.%fZ"), day and str(day))
-            assert got[f, r[row_id]] == want, (f, r[f], r.feed)
+    for r in instants(spark, data).withColumn("at", iso_instant(F.col("utc"))).collect():
+        at, _ = plain(r["date"], *feeds[r.feed])
+        assert r["at"] == (at and at.strftime("%Y-%m-%dT%H:%M:%S.%fZ")), (r["date"], r.feed)
+    for name in ("news", "prices"):
+        for r in days(spark, data, name).withColumn("iso", iso_day(F.col("day"))).collect():
+            _, day = plain(r.date_only, *feeds[r.feed])
+            assert r.iso == (day and str(day)), (r.date_only, r.feed)
+
+
+def test_days_agree_with_readings(spark):
+    df = spark.createDataFrame([(i, c[0], c[1]) for i, c in enumerate(CASES)], "id long, text string, o string")
+    got = {r.id: r.iso for r in read_days(df, "text", F.col("o")).withColumn("iso", iso_day(F.col("day"))).collect()}
+    assert got == {i: c[4] for i, c in enumerate(CASES)}
 
 
 def test_empty_table_and_clashing_names(spark):

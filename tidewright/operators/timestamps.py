@@ -110,6 +110,48 @@ def _day(year: Column, month: Column, day: Column) -> Column:
                        .cast("date")).cast("long")
 
 
+def _month(name: Column) -> Column:
+    """1 to 12 of an English month name or its first letters in lower case, else null."""
+    place = F.instr(F.lit("".join(m[:3] for m in _MONTHS)), F.substring(name, 1, 3))
+    return F.when(name.isin(*_MONTHS, *[m[:3] for m in _MONTHS], "sept"), ((place + 2) / 3).cast("int"))
+
+
+def _count(digits: Column) -> Column:
+    """Microseconds of a count since 1970 in seconds, milliseconds or microseconds within COUNT_YEARS, else null."""
+    since, until = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) * 10**6 for y in (COUNT_YEARS[0], COUNT_YEARS[1] + 1))
+    n = digits.cast("bigint")
+    return F.coalesce(*[F.when((n >= since // unit) & (n < until // unit), n * F.lit(unit)) for unit in (1_000_000, 1000, 1)])
+
+
+def read_days(df: DataFrame, text: str, day_order: Column, out: str = "day") -> DataFrame:
+    """The table with the calendar day as written, as ``read_times`` gives it, in days since 1970.
+
+    It needs no zone and no join.  Null texts and texts that name no day that exists give null; a numeric day
+    and month behind which the year stands need a known order.  The result replaces a column of its name;
+    columns starting with ``_t`` are reserved.
+    """
+    require_columns(df, text)
+    given = [c for c in df.columns if c != out]
+    taken = lambda month, day: F.regexp_replace(
+        "_ts", _PATTERN, f"\x01${{ya}}${{yb}}${{yc}}${{yd}}-${{ma}}{month}-${{da}}${{dc}}${{dd}}{day}-${{nc}}${{nd}}")
+    df = df.withColumns({"_ts": strip(F.col(text)), "_to": day_order})
+    df = df.withColumn("_tx", F.when(F.col("_to") == "dmy", taken("${n2}", "${n1}"))
+                       .when(F.col("_to").isin("mdy", "ymd"), taken("${n1}", "${n2}")).otherwise(taken("", "")))
+    x = F.substring(F.col("_tx"), F.lit(2), F.length("_tx"))
+    df = df.withColumns({
+        "_tx": F.when(F.col("_tx").startswith("\x01") & ~F.col("_ts").contains("\x01"), x),
+        "_td": F.when(F.col("_ts").rlike("^[0-9]{8,17}$"), F.col("_ts"))})
+    name = F.lower(F.substring_index("_tx", "-", -1))
+    written = F.when(F.col("_tx").endswith("-"), F.substring_index("_tx", "-", 3)).otherwise(F.concat_ws(
+        "-", F.substring_index("_tx", "-", 1), _month(name).cast("string"), F.substring_index(F.substring_index("_tx", "-", -2), "-", 1)))
+    part = lambda a, n: F.substring(F.col("_td"), a, n)
+    calendar = F.when(F.length("_td").isin(8, 10, 12, 14) & part(1, 4).between(*map(str, COUNT_YEARS)),
+                      F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2)))
+    df = df.withColumns({"_tn": _count(F.col("_td")), "_tw": F.when(F.col("_td").isNull(), written).otherwise(calendar)})
+    counted = ((F.col("_tn") - F.pmod(F.col("_tn"), F.lit(DAY_MICROS))) / F.lit(DAY_MICROS)).cast("long")
+    return df.withColumn(out, F.coalesce(counted, F.unix_date(F.col("_tw").try_cast("date")).cast("long"))).select(*given, out)
+
+
 def read_times(df: DataFrame, text: str, day_order: Column, zone: Column, intervals: DataFrame, out: str = "") -> DataFrame:
     """The table with columns ``day`` (days since 1970), ``utc`` (microseconds) and ``how``, named with ``out``.
 
@@ -136,8 +178,7 @@ def read_times(df: DataFrame, text: str, day_order: Column, zone: Column, interv
 
     # a day and a clock in words and separators
     name = F.lower(get("name"))
-    place = F.instr(F.lit("".join(m[:3] for m in _MONTHS)), F.substring(name, 1, 3))
-    named = F.when(name.isin(*_MONTHS, *[m[:3] for m in _MONTHS], "sept"), ((place + 2) / 3).cast("int"))
+    named = _month(name)
     swap = F.when(F.col("_to") == "dmy", True).when(F.col("_to").isin("mdy", "ymd"), False)
     df = df.withColumns({
         "_tmonth": F.coalesce(num("month"), F.when(swap, num("second")).when(~swap, num("first")), named),
@@ -154,13 +195,11 @@ def read_times(df: DataFrame, text: str, day_order: Column, zone: Column, interv
     # digits only: a calendar with the year first, or a count since 1970
     digits = F.when(F.col("_tp").isNull() & F.col("_ts").rlike("^[0-9]{8,17}$"), F.col("_ts"))
     df = df.withColumn("_td", digits)
-    count, width = F.col("_td").cast("bigint"), F.length("_td")
+    width = F.length("_td")
     piece = lambda a, n: F.nullif(F.substring("_td", a, n), F.lit("")).cast("int")
-    since, until = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) * 10**6 for y in (COUNT_YEARS[0], COUNT_YEARS[1] + 1))
-    fits = lambda unit: F.when((count >= since // unit) & (count < until // unit), count * F.lit(unit))
     calendar = width.isin(8, 10, 12, 14) & piece(1, 4).between(*COUNT_YEARS)
     df = df.withColumns({
-        "_tn": F.coalesce(fits(1_000_000), fits(1000), fits(1)),
+        "_tn": _count(F.col("_td")),
         "_tyear": F.when(F.col("_td").isNull(), num("year")).when(calendar, piece(1, 4)),
         "_tmonth": F.when(F.col("_td").isNull(), F.col("_tmonth")).otherwise(piece(5, 2)),
         "_tdate": F.when(F.col("_td").isNull(), F.col("_tdate")).otherwise(piece(7, 2)),

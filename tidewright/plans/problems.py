@@ -10,7 +10,7 @@ from tidewright.functions.text import clean_ticker, squeeze
 from tidewright.functions.ticks import day_of, first_day_from, iso_day, iso_instant
 from tidewright.operators.heavy_keys import heavy_keys, most_repeated_value
 from tidewright.operators.point_in_time import match_as_of, with_attributes_as_of
-from tidewright.operators.timestamps import offset_intervals, read_times
+from tidewright.operators.timestamps import offset_intervals, read_days, read_times
 from tidewright.operators.trailing import each_day, latest_version, trailing_runs
 from tidewright.plans.registry import Catalogue
 from tidewright.sources.tables import table
@@ -138,28 +138,34 @@ def p5_trailing_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sum(length).alias("days"), F.round(F.sum(F.col("total") * length), 6).alias("sum_of_totals"))
 
 
-def dated(spark: SparkSession, folder: str, name: str, row_id: str, fields: tuple[str, ...]) -> DataFrame:
-    """Readings of the text times of a table in a long form: (src_field, row_id, day, utc, how)."""
+def _with_feed(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table with the zone and day order of each row's feed; the feeds are a fixed dozen of rows."""
     feeds = table(spark, folder, "feeds").select(F.col("feed").alias("_feed"), "tz_name", "day_order")
-    intervals = offset_intervals(feeds)
-    rows = table(spark, folder, name)
-    long = rows.select(F.col(row_id).alias("row_id"), "feed", F.explode(F.array(*[
-        F.struct(F.lit(f"{name}.{f}").alias("src_field"), F.col(f).alias("text")) for f in fields])).alias("x"))
-    long = long.select("row_id", "feed", "x.*").join(F.broadcast(feeds), F.col("feed") == F.col("_feed"), "left")
-    return read_times(long, "text", F.col("day_order"), F.col("tz_name"), intervals).select(
-        "src_field", "row_id", "day", "utc", "how")
+    rows = table(spark, folder, name).select(*columns, "feed")
+    return rows.join(F.broadcast(feeds), F.col("feed") == F.col("_feed"), "left").drop("_feed")
 
 
-def _normed(df: DataFrame) -> DataFrame:
-    norm = F.when(F.col("src_field") == "news.date", iso_instant(F.col("utc"))).otherwise(iso_day(F.col("day")))
-    return df.select("src_field", "row_id", norm.alias("norm")).where("norm is not null")
+def instants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of ``news`` with the readings of its ``date``: day, utc, how."""
+    intervals = offset_intervals(table(spark, folder, "feeds"))
+    return read_times(_with_feed(spark, folder, "news", "news_id", "date"), "date", F.col("day_order"), F.col("tz_name"), intervals)
+
+
+def days(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of ``news`` or ``prices`` with the ``day`` of each row's ``date_only``."""
+    return read_days(_with_feed(spark, folder, name, *columns, "date_only"), "date_only", F.col("day_order"))
+
+
+def _norms(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
+    ids = {"news": "news_id", "prices": "price_id"}
+    return [days(spark, folder, n, ids[n]).select(
+        F.lit(f"{n}.date_only").alias("src_field"), F.col(ids[n]).alias("row_id"), iso_day(F.col("day")).alias("norm")) for n in names]
 
 
 @catalogue.add("p6_found")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [dated(spark, folder, "news", "news_id", ("date", "date_only")),
-             dated(spark, folder, "prices", "price_id", ("date_only",))]
-    return _normed(reduce(DataFrame.unionByName, parts)).distinct()
+    at = instants(spark, folder).select(F.lit("news.date").alias("src_field"), F.col("news_id").alias("row_id"), iso_instant(F.col("utc")).alias("norm"))
+    return reduce(DataFrame.unionByName, [at, *_norms(spark, folder, "news", "prices")]).where("norm is not null").distinct()
 
 
 #: The day of a stripped text t by the order day_order, as SQL.
@@ -181,11 +187,10 @@ select src_field, row_id, strftime(day, '%Y-%m-%d') as norm from (
 @catalogue.add("p6_days", """with x as (select 'news.date_only' as src_field, news_id as row_id, date_only as raw, feed from news
 union all select 'prices.date_only', price_id, date_only, feed from prices)""" + _DAY_SQL)
 def p6_days(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [dated(spark, folder, "news", "news_id", ("date_only",)), dated(spark, folder, "prices", "price_id", ("date_only",))]
-    return _normed(reduce(DataFrame.unionByName, parts)).distinct()
+    return reduce(DataFrame.unionByName, _norms(spark, folder, "news", "prices")).where("norm is not null").distinct()
 
 
 @catalogue.add("p6_readings")
 def p6_readings(spark: SparkSession, folder: str) -> DataFrame:
     """How often each way of finding the offset occurred in ``news.date``: repeated, skipped, unreadable hours and all."""
-    return dated(spark, folder, "news", "news_id", ("date",)).groupBy("how").agg(F.count(F.lit(1)).alias("n"))
+    return instants(spark, folder).groupBy("how").agg(F.count(F.lit(1)).alias("n"))
