@@ -122,13 +122,15 @@ def nearest_in_time(left: DataFrame, right: DataFrame, *, left_id: str, right_id
         return df.select(F.col(entity).alias("entity"), F.col(at).cast("long").alias("at"),
                          F.col(row_id).cast("long").alias("id")).where("entity is not null and at is not null and id is not null")
 
-    both = (
+    # written once: ranging samples its input first, which would otherwise compute both sides twice
+    both = cut_lineage(
         side(right, right_id).groupBy("entity", "at").agg(F.min("id").alias("id")).withColumn("side", F.lit(0))
-        .unionByName(side(left, left_id).withColumn("side", F.lit(1)))
-        .repartitionByRange(count, "entity", "at", "side", "id").sortWithinPartitions("entity", "at", "side", "id")
+        .unionByName(side(left, left_id).withColumn("side", F.lit(1))))
+    ranged = (
+        both.repartitionByRange(count, "entity", "at", "side", "id").sortWithinPartitions("entity", "at", "side", "id")
         .select(F.spark_partition_id().alias("pid"), "entity", "at", "side", "id")
     )
-    scanned = cut_lineage(both.mapInPandas(_scan, _SCANNED))
+    scanned = cut_lineage(ranged.mapInPandas(_scan, _SCANNED))
     rows = scanned.where("edge = 0").join(F.broadcast(_carried(scanned.where("edge > 0"), count)), "pid", "left")
     over_edge = lambda side, c: F.when(F.col(f"open_{side}") & (F.col(f"carried_{side}.entity") == F.col("entity")),
                                        F.col(f"carried_{side}.{c}"))

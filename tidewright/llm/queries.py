@@ -9,8 +9,8 @@ from tidewright.llm.mixing import mixed, reached_shares
 from tidewright.llm.nearest_time import nearest_in_time
 from tidewright.llm.tokens import token_ids
 from tidewright.llm.top_n import top_items
-from tidewright.operators.timestamps import offset_intervals, read_times
-from tidewright.plans.problems import SQL_DAY, SQL_TICKER
+from tidewright.llm.truncation import truncation_scores
+from tidewright.plans.problems import SQL_DAY, SQL_TICKER, days
 from tidewright.plans.registry import Catalogue
 from tidewright.sources.tables import table
 
@@ -19,11 +19,8 @@ catalogue = Catalogue()
 
 def _days(spark: SparkSession, folder: str, name: str, row_id: str, *more: str) -> DataFrame:
     """(row_id, ticker, day, further columns) of the rows with a ticker and a readable date_only."""
-    feeds = table(spark, folder, "feeds").select(F.col("feed").alias("_feed"), "tz_name", "day_order")
-    rows = table(spark, folder, name).select(row_id, clean_ticker(F.col("ticker")).alias("ticker"), "date_only", "feed", *more)
-    rows = rows.join(F.broadcast(feeds), F.col("feed") == F.col("_feed"), "left")
-    return read_times(rows, "date_only", F.col("day_order"), F.col("tz_name"), offset_intervals(feeds)).select(
-        row_id, "ticker", "day", *more).where("ticker is not null and day is not null")
+    rows = days(spark, folder, name, row_id, "ticker", *more).withColumn("ticker", clean_ticker(F.col("ticker")))
+    return rows.where("ticker is not null and day is not null")
 
 
 #: Days that a price may lie away from the news.
@@ -87,3 +84,23 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Wanted and reached shares of the mix by source."""
     return reached_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), **_MIX)
+
+
+def _cut(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return truncation_scores(documents, row_id="doc_id", text="text", source="source", kind="kind")
+
+
+@catalogue.add("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut(spark, folder).where("score > 0.5").select("doc_id")
+
+
+@catalogue.add("p9_source_rates")
+def p9_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How many texts of each source that aren't blank were cut, at a limit and elsewhere, and their share."""
+    cut = F.col("score") > 0.5
+    return _cut(spark, folder).groupBy("source").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if(cut).alias("truncated"),
+        F.count_if(cut & F.col("at_limit").isNotNull()).alias("truncated_at_limit"),
+        F.avg(cut.cast("double")).alias("truncated_share"))
