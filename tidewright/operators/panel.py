@@ -70,7 +70,7 @@ def lag_columns(panel: DataFrame, columns: Sequence[str], ticker: str, period: s
     return panel.withColumns({c: F.lag(c, rows).over(w) for c in columns})
 
 
-def rolling_deviation(panel: DataFrame, value: str, ticker: str, period: str, rows: int = 20) -> Column:
+def rolling_deviation(value: str, ticker: str, period: str, rows: int = 20) -> Column:
     """Sample deviation of the last rows; null until so many values are present."""
     w = series(ticker, period).rowsBetween(1 - rows, 0)
     return F.when(F.count(value).over(w) >= rows, F.stddev_samp(value).over(w))
