@@ -182,7 +182,7 @@ def q_two_scorers_agree(spark, folder):
     return _rounded(retrieval.agreement(both, "words", "both"))
 
 
-@catalogue.add("strip_html", "select doc_id, length(trim(regexp_replace(text, '<[^>]+>', ' ', 'g'), e' \\t\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x1f\\x85' || chr(160) || "
+@catalogue.add("strip_html", "select doc_id, length(trim(regexp_replace(text, '<[^>]+>', ' ', 'g'), e' \\t\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x1f' || chr(160) || "
                "chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) "
                "|| chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(133))) as n from documents where text is not null")
 def q_strip_html(spark, folder):
