@@ -48,7 +48,7 @@ MARKS = (
     r"(?:…|\.\.\.)?\s*(?:Read on|Read more|Continue reading)", r"…", r"\.\.\.", r"<\/?\w*", "�+", r"&\w{0,6}",
 )
 _MARK = r"\s*(?:" + "|".join(MARKS) + r")\s*$"
-_CLOSERS = "\"'”’»)]｣」』“"
+_CLOSERS = "\"'”’»)\\]｣」』“"
 _TERMINATOR = rf"[.!?。！？…][{_CLOSERS}]*$"
 
 
@@ -115,9 +115,9 @@ def _expected(lengths: np.ndarray, n: float, mean: float, dev: float) -> np.ndar
 
 
 def _limits(h: pd.DataFrame) -> pd.DataFrame:
-    """Limits of one source from its histogram (source, kind, measure, length, n, endings).
+    """Limits of one source from its histogram (source, kind, measure, length, n, endings, open).
 
-    ``endings`` has a bit for each of 64 classes of endings that occur: texts of one pattern share a length
+    A limit's excess must for the most part end without a full stop (``open``).  ``endings`` has a bit for each of 64 classes of endings that occur: texts of one pattern share a length
     without any limit, but then they end alike.
     """
     out = []
@@ -134,15 +134,18 @@ def _limits(h: pd.DataFrame) -> pd.DataFrame:
             by = m.groupby("length")["n"].sum()
             varied = m.groupby("length")["endings"].agg(lambda x: bin(int(np.bitwise_or.reduce(x.to_numpy())) & (1 << 64) - 1).count("1"))
             values = by.index.to_numpy()
+            opened = m.groupby("length")["open"].sum().to_numpy(float)
             fit = sum(_expected(values.astype(float), per_kind[k], *fits[k]) for k in fits)
             counts = by.to_numpy(float)
             known = dict(zip(values.tolist(), counts.tolist()))
             again: dict[tuple[int, int], float] = {}
-            for v, n, e, kinds_of_end in zip(values.tolist(), counts, fit, varied.to_numpy()):
+            for v, n, e, kinds_of_end, without_stop in zip(values.tolist(), counts, fit, varied.to_numpy(), opened):
                 around = [known.get(v + d, 0.0) for d in range(-8, 9) if d]
                 local = max(e, sum(sorted(around)[:-2]) / (len(around) - 2))
-                if n >= 5 + 3 * local and kinds_of_end >= 0.5 * 64 * (1 - math.exp(-n / 64)):
+                if n >= 5 + 3 * local and without_stop >= 0.5 * (n - local) and kinds_of_end >= 0.5 * 64 * (1 - math.exp(-n / 64)):
                     again[v, v] = (n - local) / n
+            spiked = np.array([(int(v), int(v)) in again for v in values.tolist()])
+            band_open = np.array([(opened * ~spiked)[np.searchsorted(values, v - BAND, "right"):i + 1].sum() for i, v in enumerate(values.tolist())])
             band_n = np.array([counts[np.searchsorted(values, v - BAND, "right"):i + 1].sum() for i, v in enumerate(values.tolist())])
             spikes = np.array([sum(known.get(a, 0.0) for a, b in again if a == b and v - BAND < a <= v) for v in values.tolist()])
             band_e = np.array([fit[np.searchsorted(values, v - BAND, "right"):i + 1].sum()
@@ -150,7 +153,7 @@ def _limits(h: pd.DataFrame) -> pd.DataFrame:
             band_e = np.maximum(band_e, BAND * fit)
             after = np.array([counts[i + 1:np.searchsorted(values, v + BAND, "right")].sum() for i, v in enumerate(values.tolist())])
             rest = band_n - spikes
-            ok = (rest >= 8 + 3 * band_e) & (rest >= 3 * after) & (measure != "bytes")
+            ok = (rest >= 8 + 3 * band_e) & (rest >= 3 * after) & (band_open >= 0.5 * (rest - band_e)) & (measure != "bytes")
             while ok.any():
                 i = int(np.argmax(np.where(ok, rest - band_e, -1)))
                 v = int(values[i])
@@ -188,9 +191,10 @@ def length_limits(prepared: DataFrame) -> DataFrame:
     lengths = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("chars", "bytes", "unmarked")])
     place = F.pmod(F.xxhash64(F.right("ending", F.lit(8))), F.lit(64)).cast("int")
     histogram = (prepared.select(F.col("_source").alias("source"), F.col("_kind").alias("kind"),
-                                 F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bit"), F.explode(lengths).alias("x"))
-                 .select("source", "kind", "bit", "x.*").where("length is not null")
-                 .groupBy("source", "kind", "measure", "length").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("endings")))
+                                 F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bit"),
+                                 (~F.col("ending").rlike(_TERMINATOR)).alias("open"), F.explode(lengths).alias("x"))
+                 .select("source", "kind", "bit", "open", "x.*").where("length is not null")
+                 .groupBy("source", "kind", "measure", "length").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("endings"), F.count_if("open").alias("open")))
     return histogram.groupBy("source").applyInPandas(
         _limits, "source string, kind string, measure string, low bigint, high bigint, posterior double")
 
