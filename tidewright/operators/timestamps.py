@@ -13,7 +13,7 @@ exploded intervals: at most zones x months of the stated years rows (600 x 840 f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
@@ -39,9 +39,10 @@ _PATTERN = (
     r"|(?:[A-Za-z]{3,9},\s*)?(?<dc>\d{1,2})[-\s]+(?<nc>[A-Za-z]{3,9})\.?[-,\s]+(?<yc>\d{4})"
     r"|(?:[A-Za-z]{3,9},\s*)?(?<nd>[A-Za-z]{3,9})\.?\s+(?<dd>\d{1,2}),?\s+(?<yd>\d{4}))" + _CLOCK + "$"
 )
-#: What a text is taken apart into; of groups that stand together at most one is not empty.
+#: What a text is taken apart into; of groups that stand together at most one is not empty.  (M) and (D) are the
+#: numbers that the order of day and month makes month and day.
 _FIELDS = {
-    "year": "${ya}${yb}${yc}${yd}", "month": "${ma}", "day": "${da}${dc}${dd}", "first": "${n1}", "second": "${n2}",
+    "year": "${ya}${yb}${yc}${yd}", "month": "${ma}(M)", "day": "${da}${dc}${dd}(D)",
     "name": "${nc}${nd}", "hour": "${hh}", "minute": "${mi}", "sec": "${ss}", "fraction": "${fr}", "half": "${ap}",
     "zone": "${zo}",
 }
@@ -123,6 +124,20 @@ def _count(digits: Column) -> Column:
     return F.coalesce(*[F.when((n >= since // unit) & (n < until // unit), n * F.lit(unit)) for unit in (1_000_000, 1000, 1)])
 
 
+def _spelled_out(text: Column) -> Column:
+    """Calendar digits with the year first as yyyy-MM-dd HH:mm:ss, any other text as it is."""
+    calendar = text.rlike("^[0-9]{8}([0-9]{2}){0,3}$") & F.substring(text, 1, 4).between(*map(str, COUNT_YEARS))
+    return F.when(calendar, F.regexp_replace(F.rpad(text, 14, "0"), r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3 $4:$5:$6")).otherwise(text)
+
+
+def _taken(between: str, fields: Sequence[str]) -> Column:
+    """\x01 and the fields of _ts, by the order in _to; texts that don't fit stay as they are."""
+    form = "\x01" + between.join(_FIELDS[f] for f in fields)
+    by = lambda month, day: F.lit(form.replace("(M)", month).replace("(D)", day))
+    return F.regexp_replace("_ts", F.lit(_PATTERN), F.when(F.col("_to") == "dmy", by("${n2}", "${n1}"))
+                            .when(F.col("_to").isin("mdy", "ymd"), by("${n1}", "${n2}")).otherwise(by("", "")))
+
+
 def read_days(df: DataFrame, text: str, day_order: Column, out: str = "day") -> DataFrame:
     """The table with the calendar day as written, as ``read_times`` gives it, in days since 1970.
 
@@ -132,22 +147,15 @@ def read_days(df: DataFrame, text: str, day_order: Column, out: str = "day") ->
     """
     require_columns(df, text)
     given = [c for c in df.columns if c != out]
-    taken = lambda month, day: F.regexp_replace(
-        "_ts", _PATTERN, f"\x01${{ya}}${{yb}}${{yc}}${{yd}}-${{ma}}{month}-${{da}}${{dc}}${{dd}}{day}-${{nc}}${{nd}}")
-    df = df.withColumns({"_ts": strip(F.col(text)), "_to": day_order})
-    df = df.withColumn("_tx", F.when(F.col("_to") == "dmy", taken("${n2}", "${n1}"))
-                       .when(F.col("_to").isin("mdy", "ymd"), taken("${n1}", "${n2}")).otherwise(taken("", "")))
+    df = df.withColumns({"_tr": strip(F.col(text)), "_to": day_order})
+    df = df.withColumns({"_ts": _spelled_out(F.col("_tr")), "_tn": F.when(F.col("_tr").rlike("^[0-9]{8,17}$"), _count(F.col("_tr")))})
+    df = df.withColumn("_tx", _taken("-", ("year", "month", "day", "name")))
     x = F.substring(F.col("_tx"), F.lit(2), F.length("_tx"))
-    df = df.withColumns({
-        "_tx": F.when(F.col("_tx").startswith("\x01") & ~F.col("_ts").contains("\x01"), x),
-        "_td": F.when(F.col("_ts").rlike("^[0-9]{8,17}$"), F.col("_ts"))})
+    df = df.withColumn("_tx", F.when(F.col("_tx").startswith("\x01") & ~F.col("_ts").contains("\x01"), x))
     name = F.lower(F.substring_index("_tx", "-", -1))
     written = F.when(F.col("_tx").endswith("-"), F.substring_index("_tx", "-", 3)).otherwise(F.concat_ws(
         "-", F.substring_index("_tx", "-", 1), _month(name).cast("string"), F.substring_index(F.substring_index("_tx", "-", -2), "-", 1)))
-    part = lambda a, n: F.substring(F.col("_td"), a, n)
-    calendar = F.when(F.length("_td").isin(8, 10, 12, 14) & part(1, 4).between(*map(str, COUNT_YEARS)),
-                      F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2)))
-    df = df.withColumns({"_tn": _count(F.col("_td")), "_tw": F.when(F.col("_td").isNull(), written).otherwise(calendar)})
+    df = df.withColumn("_tw", written)
     counted = ((F.col("_tn") - F.pmod(F.col("_tn"), F.lit(DAY_MICROS))) / F.lit(DAY_MICROS)).cast("long")
     return df.withColumn(out, F.coalesce(counted, F.unix_date(F.col("_tw").try_cast("date")).cast("long"))).select(*given, out)
 
@@ -171,18 +179,16 @@ def read_times(df: DataFrame, text: str, day_order: Column, zone: Column, interv
     get = lambda f: F.get(F.col("_tp"), F.lit(list(_FIELDS).index(f) + 1))
     # these fields are digits or empty by the pattern; try_cast would build an exception for every empty one
     num = lambda f: F.nullif(get(f), F.lit("")).cast("int")
-    df = df.withColumns({"_to": day_order, "_tz": zone, "_ts": strip(F.col(text))})
-    df = df.withColumn("_tx", F.regexp_replace("_ts", _PATTERN, "\x01" + "\x01".join(_FIELDS.values())))
+    df = df.withColumns({"_to": day_order, "_tz": zone, "_tr": strip(F.col(text))})
+    df = df.withColumns({"_ts": _spelled_out(F.col("_tr")), "_tn": F.when(F.col("_tr").rlike("^[0-9]{8,17}$"), _count(F.col("_tr")))})
+    df = df.withColumn("_tx", _taken("\x01", list(_FIELDS)))
     fits_pattern = F.col("_tx").startswith("\x01") & ~F.col("_ts").contains("\x01")
     df = df.withColumn("_tp", F.when(fits_pattern, F.split("_tx", "\x01")))
 
     # a day and a clock in words and separators
     name = F.lower(get("name"))
-    named = _month(name)
-    swap = F.when(F.col("_to") == "dmy", True).when(F.col("_to").isin("mdy", "ymd"), False)
     df = df.withColumns({
-        "_tmonth": F.coalesce(num("month"), F.when(swap, num("second")).when(~swap, num("first")), named),
-        "_tdate": F.coalesce(num("day"), F.when(swap, num("first")).when(~swap, num("second"))),
+        "_tmonth": F.coalesce(num("month"), _month(name)), "_tdate": num("day"),
         "_thour": num("hour"), "_thalf": F.lower(get("half")), "_tminute": F.coalesce(num("minute"), F.lit(0)),
         "_tsec": F.coalesce(num("sec"), F.lit(0)),
         "_tfraction": F.coalesce(F.rpad(F.substring(get("fraction"), 1, 6), 6, "0").cast("long"), F.lit(0)),
@@ -192,26 +198,10 @@ def read_times(df: DataFrame, text: str, day_order: Column, zone: Column, interv
     hour = (F.when(hour.isNull(), 0).when(F.col("_thalf") == "", F.when(hour < 24, hour))
             .when((hour >= 1) & (hour <= 12), hour % 12 + F.when(F.col("_thalf") == "pm", 12).otherwise(0)))
 
-    # digits only: a calendar with the year first, or a count since 1970
-    digits = F.when(F.col("_tp").isNull() & F.col("_ts").rlike("^[0-9]{8,17}$"), F.col("_ts"))
-    df = df.withColumn("_td", digits)
-    width = F.length("_td")
-    piece = lambda a, n: F.nullif(F.substring("_td", a, n), F.lit("")).cast("int")
-    calendar = width.isin(8, 10, 12, 14) & piece(1, 4).between(*COUNT_YEARS)
-    df = df.withColumns({
-        "_tn": _count(F.col("_td")),
-        "_tyear": F.when(F.col("_td").isNull(), num("year")).when(calendar, piece(1, 4)),
-        "_tmonth": F.when(F.col("_td").isNull(), F.col("_tmonth")).otherwise(piece(5, 2)),
-        "_tdate": F.when(F.col("_td").isNull(), F.col("_tdate")).otherwise(piece(7, 2)),
-        "_thour": F.when(F.col("_td").isNull(), hour).otherwise(F.coalesce(piece(9, 2), F.lit(0))),
-        "_tminute": F.when(F.col("_td").isNull(), F.col("_tminute")).otherwise(F.coalesce(piece(11, 2), F.lit(0))),
-        "_tsec": F.when(F.col("_td").isNull(), F.col("_tsec")).otherwise(F.coalesce(piece(13, 2), F.lit(0))),
-    })
-    df = df.withColumns({
-        "_tday": _day(F.col("_tyear"), F.col("_tmonth"), F.col("_tdate")),
-        "_tclock": F.when((F.col("_thour") < 24) & (F.col("_tminute") < 60) & (F.col("_tsec") < 60), (
-            F.col("_thour") * 3600 + F.col("_tminute") * 60 + F.col("_tsec")).cast("long") * 1_000_000 + F.col("_tfraction")),
-    })
+    df = df.withColumn("_tday", _day(num("year"), F.col("_tmonth"), F.col("_tdate")))
+    df = df.withColumn("_thour", hour).withColumn("_tclock", F.when(
+        (F.col("_thour") < 24) & (F.col("_tminute") < 60) & (F.col("_tsec") < 60),
+        (F.col("_thour") * 3600 + F.col("_tminute") * 60 + F.col("_tsec")).cast("long") * 1_000_000 + F.col("_tfraction")))
     df = df.withColumn("_tl", F.col("_tday") * F.lit(DAY_MICROS) + F.col("_tclock"))
     date = F.date_from_unix_date(F.col("_tday").cast("int"))
     df = df.withColumn("_tm", F.greatest(F.lit(YEARS[0] * 12), F.least(F.lit(YEARS[1] * 12 + 11),
@@ -234,7 +224,7 @@ def read_times(df: DataFrame, text: str, day_order: Column, zone: Column, interv
     held, written, by_name = F.size("_th"), F.col("_tw"), F.col("_ta")
     by_zone = F.when(held > 0, F.get("_th", F.lit(0))["offset"]).when(held == 0, F.col("_tb")["offset"])
     offset = F.when(zo.isNull(), by_zone).otherwise(F.coalesce(written, by_name))
-    readable = F.col("_tn").isNotNull() | local.isNotNull()
+    readable = local.isNotNull()
     utc = F.coalesce(F.col("_tn"), local - offset)
     how = (F.when(F.col("_ts").isNull(), None).when(F.col("_tn").isNotNull(), "count").when(~readable, "unreadable")
            .when(written.isNotNull(), "written")

@@ -14,6 +14,7 @@ from tidewright.operators import charts, features as feat, panel, portfolio as p
 from tidewright.operators.trailing import latest_version
 from tidewright.plans.problems import SQL_DAY, SQL_TICKER, days
 from tidewright.plans.registry import Catalogue
+from tidewright.runtime import with_known
 from tidewright.sources.tables import table
 
 catalogue = Catalogue()
@@ -40,10 +41,10 @@ n as (select * from n1 where ticker is not null and headline is not null and day
 
 def clean_news(spark: SparkSession, folder: str) -> DataFrame:
     """News with ticker, headline and day, each id once."""
-    rows = days(spark, folder, "news", "news_id", "ticker", "headline", "feed").select(
+    rows = with_known(days(spark, folder, "news", "news_id", "ticker", "headline", "feed"), "day").select(
         "news_id", clean_ticker(F.col("ticker")).alias("ticker"), squeeze(F.col("headline")).alias("headline"), "feed",
         F.date_from_unix_date(F.col("day").cast("int")).alias("day"))
-    return rows.where("ticker is not null and headline is not null and day is not null").dropDuplicates(["news_id"])
+    return rows.where("ticker is not null and headline is not null").dropDuplicates(["news_id"])
 
 
 #: A scorer without the word-order rules, which SQL can say too.
@@ -79,8 +80,8 @@ px as (select ticker, day, arg_min(close_price, price_id) as close_price from
 
 def daily_prices(spark: SparkSession, folder: str) -> DataFrame:
     """One positive price for each ticker and day, of the smallest id."""
-    rows = days(spark, folder, "prices", "price_id", "ticker", "close_price").withColumn("ticker", clean_ticker(F.col("ticker")))
-    return rows.where("ticker is not null and day is not null and close_price > 0 and not isnan(close_price)").groupBy(
+    rows = with_known(days(spark, folder, "prices", "price_id", "ticker", "close_price"), "day").withColumn("ticker", clean_ticker(F.col("ticker")))
+    return rows.where("ticker is not null and close_price > 0 and not isnan(close_price)").groupBy(
         "ticker", F.date_from_unix_date(F.col("day").cast("int")).alias("day")).agg(F.min_by("close_price", "price_id").alias("close_price"))
 
 

@@ -13,6 +13,7 @@ from tidewright.operators.point_in_time import match_as_of, with_attributes_as_o
 from tidewright.operators.timestamps import offset_intervals, read_days, read_times
 from tidewright.operators.trailing import each_day, latest_version, trailing_runs
 from tidewright.plans.registry import Catalogue
+from tidewright.runtime import with_known
 from tidewright.sources.tables import table
 
 catalogue = Catalogue()
@@ -158,14 +159,14 @@ def days(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFram
 
 def _norms(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     ids = {"news": "news_id", "prices": "price_id"}
-    return [days(spark, folder, n, ids[n]).select(
+    return [with_known(days(spark, folder, n, ids[n]), "day").select(
         F.lit(f"{n}.date_only").alias("src_field"), F.col(ids[n]).alias("row_id"), iso_day(F.col("day")).alias("norm")) for n in names]
 
 
 @catalogue.add("p6_found")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     at = instants(spark, folder).select(F.lit("news.date").alias("src_field"), F.col("news_id").alias("row_id"), iso_instant(F.col("utc")).alias("norm"))
-    return reduce(DataFrame.unionByName, [at, *_norms(spark, folder, "news", "prices")]).where("norm is not null").distinct()
+    return reduce(DataFrame.unionByName, [with_known(at, "norm"), *_norms(spark, folder, "news", "prices")]).distinct()
 
 
 #: The day of a stripped text t by the order day_order, as SQL.
@@ -187,7 +188,7 @@ select src_field, row_id, strftime(day, '%Y-%m-%d') as norm from (
 @catalogue.add("p6_days", """with x as (select 'news.date_only' as src_field, news_id as row_id, date_only as raw, feed from news
 union all select 'prices.date_only', price_id, date_only, feed from prices)""" + _DAY_SQL)
 def p6_days(spark: SparkSession, folder: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, _norms(spark, folder, "news", "prices")).where("norm is not null").distinct()
+    return reduce(DataFrame.unionByName, _norms(spark, folder, "news", "prices")).distinct()
 
 
 @catalogue.add("p6_readings")

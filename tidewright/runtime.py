@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewright.errors import MissingColumnsError
 
@@ -16,6 +16,16 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise MissingColumnsError(f"missing columns {missing}; present: {df.columns}")
 
 
+def with_known(df: DataFrame, column: str) -> DataFrame:
+    """The rows whose column isn't null, for a column that is dear to compute.
+
+    A plain filter would be pushed below the projections that make the column, which computes it twice and
+    inlines every step of it; a generator is no such filter.
+    """
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode(F.array_compact(F.array(column))).alias(column)).select(*df.columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a fresh local one only where the session names none."""
     sc = spark.sparkContext
