@@ -12,6 +12,7 @@ from tidewright.llm.top_n import top_items
 from tidewright.llm.truncation import truncation_scores
 from tidewright.plans.problems import SQL_DAY, SQL_TICKER, days
 from tidewright.plans.registry import Catalogue
+from tidewright.runtime import with_known
 from tidewright.sources.tables import table
 
 catalogue = Catalogue()
@@ -19,8 +20,8 @@ catalogue = Catalogue()
 
 def _days(spark: SparkSession, folder: str, name: str, row_id: str, *more: str) -> DataFrame:
     """(row_id, ticker, day, further columns) of the rows with a ticker and a readable date_only."""
-    rows = days(spark, folder, name, row_id, "ticker", *more).withColumn("ticker", clean_ticker(F.col("ticker")))
-    return rows.where("ticker is not null and day is not null")
+    rows = with_known(days(spark, folder, name, row_id, "ticker", *more), "day").withColumn("ticker", clean_ticker(F.col("ticker")))
+    return rows.where("ticker is not null")
 
 
 #: Days that a price may lie away from the news.
