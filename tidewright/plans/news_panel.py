@@ -479,9 +479,10 @@ def q_corr_matrix(spark, folder):
     return _rounded(charts.correlations(latest_features(spark, folder), _PAIRS, pearson))
 
 
-@catalogue.add("t_test_stat", _PERF + " select count(*) as n, round(avg(excess), 9) as mean, round(stddev_samp(excess), 9) as sd, round(avg(excess) / (stddev_samp(excess) / sqrt(count(*))), 6) as t from pb")
+@catalogue.add("t_test_stat", _PERF + ", e as (select round(excess, 12) as e from pb) select count(*) as n, round(avg(e), 9) as mean, round(stddev_samp(e), 9) as sd, round(avg(e) / nullif(stddev_samp(e) / sqrt(count(*)), 0), 6) as t from e")
 def q_t_test_stat(spark, folder):
-    return stats.mean_test(_perf(spark, folder)[1], "excess").select("n", _r("mean", 9), _r("sd", 9), _r("t"))
+    excess = _perf(spark, folder)[1].select(F.round("excess", 12).alias("excess"))  # a portfolio of all names has none
+    return stats.mean_test(excess, "excess").select("n", _r("mean", 9), _r("sd", 9), _r("t"))
 
 
 @catalogue.add("pearson_test_stat", f"with {_FEATURES}, c as (select count(*) as n, corr(mean_score, ret) as r from f where mean_score is not null and ret is not null) select n, round(r, 6) as r, round(r * sqrt((n - 2) / (1 - r * r)), 5) as t from c")

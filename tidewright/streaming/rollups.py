@@ -16,9 +16,15 @@ def stream_table(spark: SparkSession, folder: str, name: str, files: int = 64) -
 
 
 def windowed(stream: DataFrame, at: str, size: str, keys: list[str], totals: dict[str, Column], late: str = "1 day") -> DataFrame:
-    """Totals by tumbling window and keys: (from, until, keys, totals); state older than ``late`` is dropped."""
+    """Totals by tumbling window and keys: (from, until, keys, totals); state older than ``late`` is dropped.
+
+    Times without a zone are taken in the session's zone, as watermarks need instants, and given back without one.
+    """
+    local = dict(stream.dtypes)[at] == "timestamp_ntz"
+    stream = stream.withColumn(at, F.col(at).cast("timestamp"))
+    bound = lambda c: F.col(f"window.{c}").cast("timestamp_ntz") if local else F.col(f"window.{c}")
     grouped = stream.withWatermark(at, late).groupBy(F.window(at, size), *keys).agg(*[c.alias(n) for n, c in totals.items()])
-    return grouped.select(F.col("window.start").alias("from"), F.col("window.end").alias("until"), *keys, *totals)
+    return grouped.select(bound("start").alias("from"), bound("end").alias("until"), *keys, *totals)
 
 
 def run_available(rollup: DataFrame) -> DataFrame:
