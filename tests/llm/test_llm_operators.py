@@ -198,6 +198,19 @@ def test_limits_and_endings_find_cuts(spark):
     assert np.mean([a is not None and a > 0.5 for a in at]) > 0.9 and 5003 not in found
 
 
+def test_copies_and_patterns_are_no_limit(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(sentence(rng) for _ in range(n))
+    rows = [(i, prose(rng.randrange(2, 14)), "copies" if i % 2 else "pattern") for i in range(1200)]
+    whole = prose(9)[:260] + " Shares of the company in demand again"
+    rows += [(10_000 + i, whole, "copies") for i in range(300)]  # a third of the source: one text without a full stop, again and again
+    rows += [(20_000 + i, f"{i:05d} {prose(9)[:260]} Shares of the company in demand again", "pattern") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = truncation_scores(df, row_id="doc_id", text="text", source="source").collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got if r.at_limit is not None] == []
+    assert not [r for r in got if r.score > 0.5 and 10_000 <= r.doc_id < 20_000]
+
+
 def test_truncation_of_tiny_tables(spark):
     df = spark.createDataFrame([(1, "A whole text.", "s")], "doc_id long, text string, source string")
     assert truncation_scores(df.limit(0), row_id="doc_id", text="text", source="source").count() == 0

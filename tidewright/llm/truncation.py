@@ -3,7 +3,7 @@
 Two kinds of evidence are put together by Bayes' rule.
 
 * Lengths.  Of each source the lengths, in characters, in bytes and in characters without a mark such as
-  "[+700 chars]", are counted over all documents.  For each kind of text a log-normal distribution is fitted
+  "[+700 chars]", are counted over all distinct texts.  For each kind of text a log-normal distribution is fitted
   by maximum likelihood, with texts at a candidate limit as right-censored: all that is known of them is that
   they were at least so long.  A limit is a length, or a narrow band below one (cuts at a word's end), that
   holds clearly more texts than the fit allows.  The excess share is a text's censoring posterior there.
@@ -13,7 +13,8 @@ Two kinds of evidence are put together by Bayes' rule.
 
 Away from limits the prior is each source's share of stray cuts, found by averaging the posteriors once.
 
-Scale: histograms combine before their shuffle to one row for each source, kind and length; a fit sees one
+Scale: copies of a text are put together by one shuffle of its hash, lengths and ending; histograms combine before
+their shuffle to one row for each source, kind and length; a fit sees one
 source's histogram, bounded by its distinct lengths; limits and priors, a row for each source and kind, are
 broadcast.  Everything else is a projection of the documents; the whole text counts for its length, the
 last characters for its ending.
@@ -118,8 +119,10 @@ def _limits(h: pd.DataFrame) -> pd.DataFrame:
     """Limits of one source from its histogram (source, kind, measure, length, n, endings, open).
 
     A limit's excess must for the most part end without a full stop (``open``).  ``endings`` has a bit for each of 64 classes of endings that occur: texts of one pattern share a length
-    without any limit, but then they end alike.
+    without any limit, but then they end alike; this holds for spikes and bands.
     """
+    classes = lambda bits: bin(int(np.bitwise_or.reduce(bits)) & (1 << 64) - 1).count("1")
+    enough = lambda n: 0.5 * 64 * (1 - np.exp(-n / 64))
     out = []
     for measure, m in h.groupby("measure"):
         m = m[m["length"] > 0]
@@ -132,28 +135,31 @@ def _limits(h: pd.DataFrame) -> pd.DataFrame:
                     for k, g in m.groupby("kind")}
             per_kind = {k: int(g["n"].sum()) for k, g in m.groupby("kind")}
             by = m.groupby("length")["n"].sum()
-            varied = m.groupby("length")["endings"].agg(lambda x: bin(int(np.bitwise_or.reduce(x.to_numpy())) & (1 << 64) - 1).count("1"))
+            bits = m.groupby("length")["endings"].agg(lambda x: np.bitwise_or.reduce(x.to_numpy())).to_numpy(np.int64)
             values = by.index.to_numpy()
             opened = m.groupby("length")["open"].sum().to_numpy(float)
             fit = sum(_expected(values.astype(float), per_kind[k], *fits[k]) for k in fits)
             counts = by.to_numpy(float)
             known = dict(zip(values.tolist(), counts.tolist()))
             again: dict[tuple[int, int], float] = {}
-            for v, n, e, kinds_of_end, without_stop in zip(values.tolist(), counts, fit, varied.to_numpy(), opened):
+            for v, n, e, ends, without_stop in zip(values.tolist(), counts, fit, bits, opened):
                 around = [known.get(v + d, 0.0) for d in range(-8, 9) if d]
                 local = max(e, sum(sorted(around)[:-2]) / (len(around) - 2))
-                if n >= 5 + 3 * local and without_stop >= 0.5 * (n - local) and kinds_of_end >= 0.5 * 64 * (1 - math.exp(-n / 64)):
+                if n >= 5 + 3 * local and without_stop >= 0.5 * (n - local) and classes([ends]) >= enough(n):
                     again[v, v] = (n - local) / n
             spiked = np.array([(int(v), int(v)) in again for v in values.tolist()])
             band_open = np.array([(opened * ~spiked)[np.searchsorted(values, v - BAND, "right"):i + 1].sum() for i, v in enumerate(values.tolist())])
             band_n = np.array([counts[np.searchsorted(values, v - BAND, "right"):i + 1].sum() for i, v in enumerate(values.tolist())])
             spikes = np.array([sum(known.get(a, 0.0) for a, b in again if a == b and v - BAND < a <= v) for v in values.tolist()])
+            unspiked = np.where(spiked, 0, bits)
+            band_ends = np.array([classes(unspiked[np.searchsorted(values, v - BAND, "right"):i + 1]) for i, v in enumerate(values.tolist())])
             band_e = np.array([fit[np.searchsorted(values, v - BAND, "right"):i + 1].sum()
                                for i, v in enumerate(values.tolist())])
             band_e = np.maximum(band_e, BAND * fit)
             after = np.array([counts[i + 1:np.searchsorted(values, v + BAND, "right")].sum() for i, v in enumerate(values.tolist())])
             rest = band_n - spikes
-            ok = (rest >= 8 + 3 * band_e) & (rest >= 3 * after) & (band_open >= 0.5 * (rest - band_e)) & (measure != "bytes")
+            ok = ((rest >= 8 + 3 * band_e) & (rest >= 3 * after) & (band_open >= 0.5 * (rest - band_e)) & (band_ends >= enough(rest))
+                  & (measure != "bytes"))
             while ok.any():
                 i = int(np.argmax(np.where(ok, rest - band_e, -1)))
                 v = int(values[i])
@@ -177,8 +183,8 @@ def _prepared(documents: DataFrame) -> DataFrame:
     text = F.col("_text")
     rows = documents.where(F.length(F.btrim(text, F.lit(WHITESPACE))) > 0).withColumns({
         "chars": F.length(text).cast("long"), "bytes": F.octet_length(text).cast("long"), "_mark": _marked(text),
-        "ending": _ending(text), "alone": _alone(text)})
-    return cut_lineage(rows.select("_id", "_source", "_kind", "chars", "bytes", F.when(F.col("_mark") > 0, F.col("chars") - F.col("_mark"))
+        "ending": _ending(text), "alone": _alone(text), "_hash": F.xxhash64(text)})
+    return cut_lineage(rows.select("_id", "_hash", "_source", "_kind", "chars", "bytes", F.when(F.col("_mark") > 0, F.col("chars") - F.col("_mark"))
                                    .alias("unmarked"), "ending", "alone"))
 
 
@@ -186,11 +192,13 @@ def length_limits(prepared: DataFrame) -> DataFrame:
     """Limits at which texts of a source were cut: (source, kind, measure, low, high, posterior).
 
     ``measure`` is chars, bytes or unmarked; posterior is the share of texts of that length that the fitted
-    distribution doesn't explain.
+    distribution doesn't explain.  Copies of a text within a source and kind count once: they share a length without
+    any limit.
     """
     lengths = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("length")) for m in ("chars", "bytes", "unmarked")])
     place = F.pmod(F.xxhash64(F.right("ending", F.lit(8))), F.lit(64)).cast("int")
-    histogram = (prepared.select(F.col("_source").alias("source"), F.col("_kind").alias("kind"),
+    texts = prepared.select("_source", "_kind", "_hash", "chars", "bytes", "unmarked", "ending").distinct()
+    histogram = (texts.select(F.col("_source").alias("source"), F.col("_kind").alias("kind"),
                                  F.call_function("shiftleft", F.lit(1).cast("long"), place).alias("bit"),
                                  (~F.col("ending").rlike(_TERMINATOR)).alias("open"), F.explode(lengths).alias("x"))
                  .select("source", "kind", "bit", "open", "x.*").where("length is not null")
