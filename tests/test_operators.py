@@ -209,6 +209,26 @@ def test_hints_against_numpy(spark):
     assert 99 not in found
 
 
+def test_hints_of_many_blocks_without_collecting_terms(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vocabulary = [(i, rng.integers(-1, 2, size=4).astype(float).tolist(), float(rng.choice([-1, 1]))) for i in range(300)]  # many equal similarities
+    queries = [(i, rng.integers(-1, 2, size=4).astype(float).tolist()) for i in range(11)]
+    queries = [(i, e) for i, e in queries if any(e)]
+    terms = spark.createDataFrame(vocabulary, "term long, e array<double>, v double").repartition(5)
+    monkeypatch.setattr(retrieval, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(retrieval, "SLICE", 16, raising=False)
+    with monkeypatch.context() as m:
+        m.setattr(type(terms), "toPandas", lambda *_: pytest.fail("the terms came to the driver"))
+        got = retrieval.nearest_terms(spark.createDataFrame(queries, "q int, e array<double>"), terms, query_id="q", term="term", embedding="e", valence="v", k=4, least=0.2)
+        found = {(r.q, r.term, r.v, r.place) for r in got.collect()}
+    want = set()
+    for q, e in queries:
+        sims = sorted((-round(np.dot(e, x) / np.linalg.norm(e) / np.linalg.norm(x), 12), t, v) for t, x, v in vocabulary if any(x))[:12]
+        for side in (1, -1):
+            want |= {(q, t, v, n + 1) for n, (_, t, v) in enumerate([s for s in sims if s[2] == side and -s[0] >= 0.2][:2])}
+    assert found == want
+
+
 def test_normaliser_routes_by_length(spark):
     df = spark.createDataFrame([(1, "short"), (2, "long " * 100), (3, None)], "i int, t string")
     got = {r.i: r for r in retrieval.normalise(df, "t", retrieval.EchoBackend(), batch=1).collect()}

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import reduce
+from itertools import islice
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewright.operators.sentiment import parse_reasoning
-from tidewright.runtime import require_columns
+from tidewright.runtime import cut_lineage, require_columns
 
 
 def unit(v: Column) -> Column:
@@ -19,43 +21,79 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
+#: Queries that are shipped to the terms at a time, and terms that are multiplied with them at a time.
+BLOCK, SLICE = 2048, 1024
+
+
+def _best_terms(shipped, wanted: int, least: float):
+    """For mapInPandas over terms in term order: the ``wanted`` terms of a partition most similar to each query of the block.
+
+    Kept are at most ``wanted`` terms a query and the products of one slice.  Similarities are ranked by 12 digits;
+    of equal ones the earlier term stays.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrix = shipped.value
+        empty = np.zeros(0)
+        query, rank, similarity, valence, names = np.zeros(0, np.int64), empty, empty, empty, np.zeros(0, object)
+        floor = np.full(len(matrix), -np.inf)
+        for f in frames:
+            for start in range(0, len(f), SLICE):
+                part = f.iloc[start:start + SLICE]
+                products = matrix @ np.stack(part["e"].to_numpy()).T
+                ranks = products.round(12)
+                q, t = np.nonzero((ranks > floor[:, None]) & (ranks >= round(least, 12)))
+                if not len(q):
+                    continue
+                query, rank = np.concatenate([query, q]), np.concatenate([rank, ranks[q, t]])
+                similarity, valence = np.concatenate([similarity, products[q, t]]), np.concatenate([valence, part["v"].to_numpy()[t]])
+                names = np.concatenate([names, part["t"].to_numpy(object)[t]])
+                order = np.lexsort((-rank, query))  # stable, so equal ones keep the order of terms
+                place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+                order = order[place < wanted]
+                query, rank, similarity, valence, names = query[order], rank[order], similarity[order], valence[order], names[order]
+                full = np.flatnonzero(np.bincount(query, minlength=len(floor)) >= wanted)
+                floor[full] = rank[np.searchsorted(query, full, "right") - 1]
+        yield pd.DataFrame({"_i": query, "_t": names, "_v": valence, "similarity": similarity, "_rank": rank})
+
+    return run
+
+
 def nearest_terms(queries: DataFrame, terms: DataFrame, *, query_id: str, term: str, embedding: str, valence: str, k: int = 8,
                   least: float = 0.4) -> DataFrame:
     """Hints of each query: (query_id, term, valence, similarity, polarity place).
 
     Of the 3k most similar terms those of similarity ``least`` or more, at most k/2 positive and k/2 negative.
-    The vocabulary is a model of bounded size (a lexicon of some thousand terms) and goes to every task as one
-    matrix; each batch of queries is one product.  Terms of valence 0 or without a vector don't count; equal
-    similarities by term; queries without a vector have no hints.
+    Terms of valence 0 or without a vector don't count; equal similarities by term; queries without a vector have no
+    hints.
+
+    Scale: terms stay distributed.  Queries come to the driver a partition at a time and are shipped in blocks of
+    ``BLOCK``; a task keeps the 3k best terms of its partition for each query of a block, and these are ranked
+    together.  A block's hints are written before the next is shipped.  Every query meets every term, so the work is
+    their product.
     """
     require_columns(queries, query_id, embedding)
     require_columns(terms, term, embedding, valence)
-    vocabulary = terms.where(F.col(valence) != 0).select(F.col(term).alias("t"), F.col(valence).cast("double").alias("v"),
-                                                       unit(F.col(embedding)).alias("e")).where("e is not null").orderBy("t").toPandas()
-    kinds = (dict(queries.dtypes)[query_id], dict(terms.dtypes)[term])
-    schema = f"`{query_id}` {kinds[0]}, `{term}` {kinds[1]}, `{valence}` double, similarity double, place int"
-    columns = [query_id, term, valence, "similarity", "place"]
-    shipped = queries.sparkSession.sparkContext.broadcast(vocabulary)
-    half = max(1, k // 2)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voc = shipped.value
-        if not len(voc):
-            return
-        matrix, v = np.stack(voc["e"].to_numpy()), voc["v"].to_numpy()
-        for f in frames:
-            out = []
-            for start in range(0, len(f), 256):  # a block of queries at a time bounds the product
-                block = f.iloc[start:start + 256]
-                sims = np.stack(block["e"].to_numpy()) @ matrix.T
-                order = np.argsort(-sims.round(12), axis=1, kind="stable")[:, :3 * k]
-                for q, row, best in zip(block["q"], sims, order):
-                    best = best[row[best] >= least]
-                    for side in (best[v[best] > 0][:half], best[v[best] < 0][:half]):
-                        out += [(q, voc["t"].iloc[i], v[i], row[i], n + 1) for n, i in enumerate(side)]
-            yield pd.DataFrame(out, columns=columns)
-
-    return queries.select(F.col(query_id).alias("q"), unit(F.col(embedding)).alias("e")).where("e is not null").mapInPandas(run, schema)
+    spark = queries.sparkSession
+    id_type, term_type = dict(queries.dtypes)[query_id], dict(terms.dtypes)[term]
+    vectors = terms.where(F.col(valence) != 0).select(F.col(term).alias("t"), F.col(valence).cast("double").alias("v"),
+                                                      unit(F.col(embedding)).alias("e")).where("e is not null")
+    vocabulary = cut_lineage(vectors.sortWithinPartitions("t"))
+    ordered = (F.desc("_rank"), F.asc("_t"))
+    near = F.row_number().over(Window.partitionBy("_i").orderBy(*ordered))
+    place = F.row_number().over(Window.partitionBy("_i", F.col("_v") > 0).orderBy(*ordered))
+    asked = queries.select(F.col(query_id).alias("q"), unit(F.col(embedding)).alias("e")).where("e is not null").toLocalIterator()
+    found = []
+    while block := list(islice(asked, BLOCK)):
+        shipped = spark.sparkContext.broadcast(np.array([r["e"] for r in block]))
+        ids = spark.createDataFrame([(i, r["q"]) for i, r in enumerate(block)], f"_i bigint, `{query_id}` {id_type}")
+        best = vocabulary.mapInPandas(_best_terms(shipped, 3 * k, least), f"_i bigint, _t {term_type}, _v double, similarity double, _rank double")
+        hints = best.withColumn("_near", near).where((F.col("_near") <= 3 * k) & (F.col("similarity") >= least)).withColumn("place", place)
+        found.append(cut_lineage(hints.where(F.col("place") <= max(1, k // 2)).join(F.broadcast(ids), "_i").select(
+            query_id, F.col("_t").alias(term), F.col("_v").alias(valence), "similarity", "place")))
+        shipped.destroy()
+    schema = f"`{query_id}` {id_type}, `{term}` {term_type}, `{valence}` double, similarity double, place int"
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 class Backend(Protocol):
