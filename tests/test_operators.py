@@ -229,6 +229,24 @@ def test_hints_of_many_blocks_without_collecting_terms(spark, monkeypatch):
     assert found == want
 
 
+def test_registered_hints_search_all_rows_but_the_own(spark, tmp_path):
+    from tidewright.plans.news_panel import catalogue
+
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(90, 5))
+    vectors[[20, 40, 61]] = vectors[0] + rng.normal(size=(3, 5)) * 0.01  # related vectors, two of them queries themselves
+    spark.createDataFrame([(i, v.tolist(), i % 10) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.vec_id, r.term, r.valence) for r in catalogue.queries["cosine_hints"](spark, str(tmp_path)).collect()}
+    x = vectors.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = set()
+    for q in range(0, 90, 20):
+        best = [t for t in np.argsort(-(x @ x[q]), kind="stable").tolist() if t != q][:24]
+        for sign in (0, 1):
+            want |= {(q, t, (1.0, -1.0)[sign]) for t in [t for t in best if t % 2 == sign and x[t] @ x[q] >= 0.2][:4]}
+    assert got == want and {(0, 20, 1.0), (20, 0, 1.0)} <= got
+
+
 def test_normaliser_routes_by_length(spark):
     df = spark.createDataFrame([(1, "short"), (2, "long " * 100), (3, None)], "i int, t string")
     got = {r.i: r for r in retrieval.normalise(df, "t", retrieval.EchoBackend(), batch=1).collect()}

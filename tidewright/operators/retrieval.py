@@ -29,11 +29,11 @@ def _best_terms(shipped, wanted: int, least: float):
     """For mapInPandas over terms in term order: the ``wanted`` terms of a partition most similar to each query of the block.
 
     Kept are at most ``wanted`` terms a query and the products of one slice.  Similarities are ranked by 12 digits;
-    of equal ones the earlier term stays.
+    of equal ones the earlier term stays.  The block is its vectors and, by term, the queries that pass it over.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matrix = shipped.value
+        matrix, own = shipped.value
         empty = np.zeros(0)
         query, rank, similarity, valence, names = np.zeros(0, np.int64), empty, empty, empty, np.zeros(0, object)
         floor = np.full(len(matrix), -np.inf)
@@ -42,6 +42,8 @@ def _best_terms(shipped, wanted: int, least: float):
                 part = f.iloc[start:start + SLICE]
                 products = matrix @ np.stack(part["e"].to_numpy()).T
                 ranks = products.round(12)
+                for j, name in enumerate(part["t"]) if own else ():
+                    ranks[own.get(name, []), j] = -np.inf
                 q, t = np.nonzero((ranks > floor[:, None]) & (ranks >= round(least, 12)))
                 if not len(q):
                     continue
@@ -60,12 +62,12 @@ def _best_terms(shipped, wanted: int, least: float):
 
 
 def nearest_terms(queries: DataFrame, terms: DataFrame, *, query_id: str, term: str, embedding: str, valence: str, k: int = 8,
-                  least: float = 0.4) -> DataFrame:
+                  least: float = 0.4, skip_own: bool = False) -> DataFrame:
     """Hints of each query: (query_id, term, valence, similarity, polarity place).
 
     Of the 3k most similar terms those of similarity ``least`` or more, at most k/2 positive and k/2 negative.
     Terms of valence 0 or without a vector don't count; equal similarities by term; queries without a vector have no
-    hints.
+    hints.  With ``skip_own`` the term that equals a query's id is passed over by this query alone.
 
     Scale: terms stay distributed.  Queries come to the driver a partition at a time and are shipped in blocks of
     ``BLOCK``; a task keeps the 3k best terms of its partition for each query of a block, and these are ranked
@@ -85,7 +87,11 @@ def nearest_terms(queries: DataFrame, terms: DataFrame, *, query_id: str, term:
     asked = queries.select(F.col(query_id).alias("q"), unit(F.col(embedding)).alias("e")).where("e is not null").toLocalIterator()
     found = []
     while block := list(islice(asked, BLOCK)):
-        shipped = spark.sparkContext.broadcast(np.array([r["e"] for r in block]))
+        own: dict = {}
+        for i, r in enumerate(block) if skip_own else ():
+            if r["q"] is not None:
+                own.setdefault(r["q"], []).append(i)
+        shipped = spark.sparkContext.broadcast((np.array([r["e"] for r in block]), own))
         ids = spark.createDataFrame([(i, r["q"]) for i, r in enumerate(block)], f"_i bigint, `{query_id}` {id_type}")
         best = vocabulary.mapInPandas(_best_terms(shipped, 3 * k, least), f"_i bigint, _t {term_type}, _v double, similarity double, _rank double")
         hints = best.withColumn("_near", near).where((F.col("_near") <= 3 * k) & (F.col("similarity") >= least)).withColumn("place", place)

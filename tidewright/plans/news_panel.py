@@ -209,12 +209,12 @@ def q_normalize_routing(spark, folder):
 
 @catalogue.add("cosine_hints")
 def q_cosine_hints(spark, folder):
-    """Hints for every vector whose id is divisible by 20 from the vectors of the other ids, signed by their label."""
+    """Hints for every vector whose id is divisible by 20 from all vectors but itself, signed by their label."""
     e = table(spark, folder, "embeddings")
-    terms = e.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("term"), F.col("embedding").alias("emb"),
-                                              F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0).alias("valence"))
+    terms = e.select(F.col("vec_id").alias("term"), F.col("embedding").alias("emb"), F.when(F.col("label") % 2 == 0, 1.0).otherwise(-1.0).alias("valence"))
     queries = e.where("vec_id % 20 = 0").select("vec_id", F.col("embedding").alias("emb"))
-    return _rounded(retrieval.nearest_terms(queries, terms, query_id="vec_id", term="term", embedding="emb", valence="valence", least=0.2))
+    return _rounded(retrieval.nearest_terms(queries, terms, query_id="vec_id", term="term", embedding="emb", valence="valence", least=0.2,
+                                             skip_own=True))
 
 
 # ---------------------------------------------------------------------------------- counts and groups
