@@ -211,6 +211,17 @@ def test_copies_and_patterns_are_no_limit(spark):
     assert not [r for r in got if r.score > 0.5 and 10_000 <= r.doc_id < 20_000]
 
 
+def test_padding_after_a_cut_hides_nothing(spark):
+    from tidewright.llm.truncation import _prepared
+
+    cut, pad = "Output rose again. The profit of the comp", " " * 200
+    texts = [cut, cut + pad, cut + "\n" * 160, cut + "... [+700 chars]", cut + "... [+700 chars]" + pad, cut + pad + "[+700 chars]" + pad]
+    df = spark.createDataFrame([(i, t, "s", "k") for i, t in enumerate(texts)], "_id int, _text string, _source string, _kind string")
+    got = {r._id: r for r in _prepared(df).collect()}
+    assert [got[i].ending for i in (0, 1, 2, 5)] == [cut] * 4 and got[4].ending == got[3].ending == cut + "..."
+    assert [got[i].unmarked for i in range(6)] == [None, None, None, len(cut) + 3, len(cut) + 3, len(cut)]
+
+
 def test_truncation_of_tiny_tables(spark):
     df = spark.createDataFrame([(1, "A whole text.", "s")], "doc_id long, text string, source string")
     assert truncation_scores(df.limit(0), row_id="doc_id", text="text", source="source").count() == 0

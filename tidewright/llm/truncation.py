@@ -53,18 +53,23 @@ _CLOSERS = "\"'”’»)\\]｣」』“"
 _TERMINATOR = rf"[.!?。！？…][{_CLOSERS}]*$"
 
 
-def _ending(text: Column) -> Column:
-    """The last characters without whitespace and mark at the end, digits as 0."""
-    last = F.rtrim(F.right(text, F.lit(ENDING)), F.lit(WHITESPACE))
-    return F.regexp_replace(F.rtrim(F.regexp_replace(last, _MARK, ""), F.lit(WHITESPACE)), r"\d", "0")
-
-
 def _marked(text: Column) -> Column:
-    """Length of the mark at the end."""
-    last = F.right(text, F.lit(ENDING))
+    """Length of the mark at the end, with the whitespace around it; whatever whitespace follows the text doesn't count."""
+    last = F.right(F.rtrim(text, F.lit(WHITESPACE)), F.lit(ENDING))
     return F.length(last) - F.length(F.regexp_replace(last, _MARK, ""))
 
 
+def _unmarked(text: Column) -> Column:
+    """The text without whitespace and mark at the end."""
+    whole = F.rtrim(text, F.lit(WHITESPACE))
+    return F.rtrim(F.substring(whole, F.lit(1), F.length(whole) - _marked(text)), F.lit(WHITESPACE))
+
+
+def _ending(text: Column) -> Column:
+    """The last characters without whitespace and mark at the end, digits as 0."""
+    return F.regexp_replace(F.right(_unmarked(text), F.lit(ENDING)), r"\d", "0")
+
+
 def _features(ending: Column, kind: Column, alone: Column) -> Column:
     """Names of what is seen of an ending; ``alone`` tells that the text has no line and no full stop before."""
     line = F.regexp_extract(ending, r"[^\n]*$", 0)
@@ -183,8 +188,8 @@ def _prepared(documents: DataFrame) -> DataFrame:
     text = F.col("_text")
     rows = documents.where(F.length(F.btrim(text, F.lit(WHITESPACE))) > 0).withColumns({
         "chars": F.length(text).cast("long"), "bytes": F.octet_length(text).cast("long"), "_mark": _marked(text),
-        "ending": _ending(text), "alone": _alone(text), "_hash": F.xxhash64(text)})
-    return cut_lineage(rows.select("_id", "_hash", "_source", "_kind", "chars", "bytes", F.when(F.col("_mark") > 0, F.col("chars") - F.col("_mark"))
+        "ending": _ending(text), "alone": _alone(text), "_hash": F.xxhash64(text), "_unmarked": F.length(_unmarked(text)).cast("long")})
+    return cut_lineage(rows.select("_id", "_hash", "_source", "_kind", "chars", "bytes", F.when(F.col("_mark") > 0, F.col("_unmarked"))
                                    .alias("unmarked"), "ending", "alone"))
 
 
