@@ -1,6 +1,7 @@
 import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators.trailing import each_day, latest_version, trailing_runs
@@ -30,6 +31,18 @@ def test_cancelled_amounts_leave_exact_zero(spark):
         (1, 2, 0.1, 1), (2, 3, 0.3, 2), (3, 8, 0.0, 3), (8, 9, -0.1, 2), (9, 10, -0.3, 1), (400, 407, 5.0, 1)]
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(38,2)"])
+def test_amounts_out_of_range_fail_and_are_not_dropped(spark, kind):
+    def runs(*amounts):
+        df = spark.createDataFrame([("a", d, x) for d, x in enumerate(amounts)], "k string, d long, x double")
+        return trailing_runs(df.withColumn("x", F.col("x").try_cast(kind)), "k", "d", {7: "x"})
+
+    assert runs(1.0, 9e13, None).where("from_day = 1").first().total == 9e13 + 1
+    for bad in (1e14, -3e20):
+        with pytest.raises(Exception, match="1e14 or more in column x"):
+            runs(1.0, bad).collect()
+
+
 def test_latest_version_nulls_ties_and_empty(spark):
     schema = "k string, at long, id long, v double"
     df = spark.createDataFrame([("a", 1, 1, 1.0), ("a", 1, 2, None), ("a", None, 9, 5.0), ("b", None, 1, 3.0), (None, 1, 1, 7.0)], schema)
