@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import squeeze
@@ -33,3 +34,22 @@ def test_ties_in_byte_order_long_and_blank_values(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], S)
     assert most_repeated_value(df, "k", "v", "id").count() == 0 and heavy_keys(df, "k").count() == 0
+
+
+def test_a_share_too_small_for_the_sketch_raises(spark):
+    df = spark.createDataFrame([(1, "a", "v")], S)
+    with pytest.raises(ValueError):
+        heavy_keys(df, "k", 1e-6)
+    assert heavy_keys(df, "k", 1e-4).count() == 1
+
+
+def test_the_default_share_follows_the_partitions(spark):
+    rows = spark.createDataFrame([(i, "x" if i % 10 == 0 else f"k{i}", "v") for i in range(2000)], S)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert heavy_keys(rows, "k").count() == 0
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        assert [(r.k, r.n) for r in heavy_keys(rows, "k").collect()] == [("x", 200)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -37,12 +37,19 @@ def test_amounts_out_of_range_fail_and_are_not_dropped(spark, kind):
         df = spark.createDataFrame([("a", d, x) for d, x in enumerate(amounts)], "k string, d long, x double")
         return trailing_runs(df.withColumn("x", F.col("x").try_cast(kind)), "k", "d", {7: "x"})
 
-    assert runs(1.0, 9e13, None).where("from_day = 1").first().total == 9e13 + 1
-    for bad in (1e14, -3e20):
-        with pytest.raises(Exception, match="1e14 or more in column x"):
+    for large in (9e13, 1e14, -1e14, 1e20, 9e22):
+        assert [(r.total, r.n) for r in runs(5.0, large, None).where("from_day = 1").collect()] == [(5.0 + large, 2)]
+    for bad in (2e23, -3e25):
+        with pytest.raises(Exception, match="1e23 or more in column x"):
             runs(1.0, bad).collect()
 
 
+def test_small_amounts_stay(spark):
+    df = spark.createDataFrame([("a", 0, 1e-13), ("a", 1, -5e-14)], "k string, d long, x double")
+    totals = [r.total for r in trailing_runs(df, "k", "d", {7: "x"}).orderBy("from_day").collect()]
+    assert totals == [1e-13, 5e-14, -5e-14]
+
+
 def test_latest_version_nulls_ties_and_empty(spark):
     schema = "k string, at long, id long, v double"
     df = spark.createDataFrame([("a", 1, 1, 1.0), ("a", 1, 2, None), ("a", None, 9, 5.0), ("b", None, 1, 3.0), (None, 1, 1, 7.0)], schema)

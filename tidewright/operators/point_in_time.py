@@ -2,14 +2,17 @@
 
 Validity intervals are cut into dyadic nodes of the time line.  A node of level ``l`` covers
 ``2**l`` ticks; a point lies in exactly one node of each level, an interval is the disjoint
-union of few nodes.  So "the interval holds the point" becomes an equi-join on (key, node).
+union of at most two nodes of each level.  So "the interval holds the point" becomes an equi-join
+on (key, node), whatever the length of a tick.  Nodes are numbered as in a heap: the root is 1, the
+halves of node i are 2i and 2i + 1, hence the nodes around a leaf are its right shifts.
 
 Scale: every row of a node covers the whole node, hence only the row of highest precedence of
-each (key, node) is kept, by an aggregation that combines before its shuffle.  The join's right
-side therefore has at most ``2 x ticks`` rows for a key however many estimates that key has, and a
-key with a third of all events is spread over the nodes.  Nodes of ``salt_from`` levels and more
-hold many events of a key, so these few nodes are repeated ``salts`` times and their events are
-dealt over the copies.
+each (key, node) is kept, by an aggregation that combines before its shuffle.  Events ask only the
+levels on which some attribute node lies.  The nodes that many events ask, of whatever level, are found
+by a frequent-items sketch over all events; each is repeated in proportion to its load and its events
+are dealt over the copies, so neither a key with a third of all events nor a crowded tick fills a task.
+The range of ticks, the levels and the loaded nodes are small aggregates (one row; at most twice as many
+rows as there are partitions) and are broadcast.
 """
 
 from __future__ import annotations
@@ -18,33 +21,41 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewright.runtime import require_columns
+from tidewright.operators.heavy_keys import frequent
+from tidewright.runtime import partitions, require_columns
 
-#: A node is one long: index * LEVELS + level.
-LEVELS = 64
+#: Ticks of events span less than two to this power.
+DEEPEST = 60
 
 
-def _node(index: Column, level: int) -> Column:
-    return index * F.lit(LEVELS) + F.lit(level)
+def _right(c: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", c, bits.cast("int"))
 
 
-def enclosing_nodes(tick: Column, top: int) -> Column:
-    """The nodes of levels 0..top that hold the point."""
-    return F.array(*[_node(F.shiftright(tick, level), level) for level in range(top + 1)])
+def _power(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
 
 
-def interval_nodes(start: Column, end: Column, top: int) -> Column:
-    """The disjoint nodes of levels 0..top whose union is [start, end); empty where start >= end."""
-    parts = []
-    for level in range(top):
-        low, high = F.shiftright(start + F.lit((1 << level) - 1), level), F.shiftright(end, level)
-        open_ = low < high
-        parts.append(F.when(open_ & (low.bitwiseAND(1) == 1), _node(low, level)))
-        parts.append(F.when(open_ & (high.bitwiseAND(1) == 1), _node(high - 1, level)))
-    low, high = F.shiftright(start + F.lit((1 << top) - 1), top), F.shiftright(end, top)
-    whole = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(F.array_compact(F.array(*parts)) if parts else F.array().cast("array<bigint>"),
-                    F.transform(whole, lambda i: _node(i, top)))
+def bits(c: Column) -> Column:
+    """Binary digits of a number that isn't negative; 1 for 0."""
+    return F.length(F.bin(c))
+
+
+def enclosing_nodes(place: Column, top: Column, levels: Column) -> Column:
+    """The nodes of the named levels that hold the place, a number in [0, 2**top)."""
+    leaf = _power(top) + place
+    return F.transform(levels, lambda level: _right(leaf, level))
+
+
+def interval_nodes(start: Column, end: Column, top: Column) -> Column:
+    """The disjoint nodes whose union is [start, end), both in [0, 2**top]; empty where start >= end."""
+
+    def of_level(level: Column) -> Column:
+        low, high = _right(start + _power(level) - 1, level), _right(end, level)
+        first, odd = _power(top - level), lambda c: c.bitwiseAND(1) == 1
+        return F.array_compact(F.array(F.when((low < high) & odd(low), first + low), F.when((low < high) & odd(high), first + high - 1)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), top.cast("int")), of_level))
 
 
 def match_as_of(
@@ -58,15 +69,15 @@ def match_as_of(
     end_tick: str | None = None,
     precedence: Sequence[str],
     values: Sequence[str] = (),
-    top: int = 10,
-    salt_from: int = 6,
-    salts: int = 8,
+    share: float | None = None,
 ) -> DataFrame:
     """One row (event_id, precedence and value columns) for each event that has a valid attribute row.
 
     A row is valid for an event of its key when ``start_tick <= event_tick < end_tick`` (half-open; no
     or null end: for ever).  Of several the one with the largest precedence columns, compared in order,
-    wins; rows alike in all of them are ordered by the value columns.
+    wins; rows alike in all of them are ordered by the value columns.  Ticks are whole numbers of any unit,
+    microseconds too; those of the events may span less than 2**60.  A node asked by more than ``share`` of
+    all asks (default: half of a partition's part) is repeated; the result doesn't depend on it.
 
     Defined cases: an event with a null id, key or tick and an attribute row with a null key or start
     match nothing; null precedence ranks lowest; an interval that ends before it starts is empty;
@@ -75,33 +86,38 @@ def match_as_of(
     """
     require_columns(events, key, event_id, event_tick)
     require_columns(attributes, key, start_tick, *([end_tick] if end_tick else []), *precedence, *values)
+    share = share or 0.5 / partitions(events.sparkSession)
     points = events.select(
         F.col(event_id).alias("_id"), F.col(key).alias("_key"), F.col(event_tick).cast("long").alias("_tick")
     ).where("_id is not null and _key is not null and _tick is not null")
-    first, last = points.agg(F.min("_tick"), F.max("_tick")).first()
-    if first is None:
-        first, last = 0, 0
-    top = max(0, min(top, (last - first).bit_length()))
+    grid = points.agg(F.min("_tick").alias("_first"), F.max("_tick").alias("_last")).where("_first is not null").withColumn(
+        "_top", bits(F.col("_last") - F.col("_first"))).withColumn(
+        "_top", F.when(F.col("_top") <= DEEPEST, F.col("_top")).otherwise(F.raise_error(F.lit(f"ticks span more than 2**{DEEPEST}"))))
 
     kept = list(dict.fromkeys([*precedence, *values]))
-    start = F.greatest(F.col(start_tick).cast("long"), F.lit(first))
-    end = F.lit(last + 1)
+    after = F.col("_last") + 1
+    within = lambda c: F.least(F.greatest(F.col(c).cast("long"), F.col("_first")), after) - F.col("_first")
+    end = _power(F.col("_top"))
     if end_tick:
-        end = F.least(F.coalesce(F.col(end_tick).cast("long"), end), end)
-    salted = lambda node: F.pmod(node, F.lit(LEVELS)) >= salt_from
-    best = (
-        attributes.where(F.col(key).isNotNull() & F.col(start_tick).isNotNull())
-        .select(F.col(key).alias("_key"), F.struct(*kept).alias("_row"),
-                F.explode(interval_nodes(start, end, top)).alias("_node"))
-        .groupBy("_key", "_node").agg(F.max("_row").alias("_row"))
-        .withColumn("_salt", F.explode(F.when(salted(F.col("_node")), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                       .otherwise(F.array(F.lit(0)))))
-    )
-    keys = points.select("_id", "_key", F.explode(enclosing_nodes(F.col("_tick"), top)).alias("_node")).withColumn(
-        "_salt", F.when(salted(F.col("_node")), F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).otherwise(0)
+        end = F.when(F.col(end_tick).cast("long") <= F.col("_last"), within(end_tick)).otherwise(end)
+    nodes = (
+        attributes.where(F.col(key).isNotNull() & F.col(start_tick).isNotNull()).join(F.broadcast(grid))
+        .where(F.col(start_tick).cast("long") <= F.col("_last"))
+        .select(F.col(key).alias("_key"), F.struct(*kept).alias("_row"), "_top",
+                F.explode(interval_nodes(within(start_tick), end, F.col("_top"))).alias("_node"))
     )
+    levels = nodes.agg(F.collect_set((F.col("_top") + 1 - bits(F.col("_node"))).cast("int")).alias("_levels"))
+    asked = points.join(F.broadcast(grid)).join(F.broadcast(levels)).select(
+        "_id", "_key", F.explode(enclosing_nodes(F.col("_tick") - F.col("_first"), F.col("_top"), F.col("_levels"))).alias("_node"))
+    spot = F.xxhash64("_key", "_node").alias("_spot")
+    loaded = F.broadcast(frequent(asked.select(spot), "_spot", share).select("_spot", F.ceil(F.col("part") / share).cast("int").alias("_copies")))
+
+    best = nodes.groupBy("_key", "_node").agg(F.max("_row").alias("_row")).withColumn("_spot", spot).join(loaded, "_spot", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies") - 1, F.lit(0)))))
+    keys = asked.withColumn("_spot", spot).join(loaded, "_spot", "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_copies")).cast("int"), F.lit(0)))
     return (
-        keys.join(best, ["_key", "_node", "_salt"])
+        keys.select("_id", "_key", "_node", "_salt").join(best.select("_key", "_node", "_salt", "_row"), ["_key", "_node", "_salt"])
         .groupBy("_id").agg(F.max("_row").alias("_row"))
         .select(F.col("_id").alias(event_id), *[F.col("_row")[c].alias(c) for c in kept])
     )

@@ -20,8 +20,8 @@ from tidewright.functions.safe import finite
 from tidewright.functions.ticks import day_of, iso_day
 from tidewright.runtime import require_columns
 
-#: Digits behind the point that amounts keep; an amount holds below 1e14, totals below 1e26.
-SCALE = 12
+#: Digits behind the point that amounts keep; amounts and totals hold below 1e23 (38 digits in all).
+SCALE = 15
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -44,15 +44,15 @@ def trailing_runs(df: DataFrame, key: str, day: str, spans: Mapping[int, str]) -
 
     Defined cases: null, NaN and infinite amounts count as no row, as do rows with a null key or day;
     several rows of a day add up; a day column may be a date; an empty table gives no run.  Amounts are
-    rounded to 12 digits behind the point.  A finite amount of 1e14 or more in size fails the run, as dropping it would
-    leave the totals wrong.
+    rounded to 15 digits behind the point.  A finite amount or a total of 1e23 or more in size fails the run, as
+    dropping it would leave the totals wrong.
     """
     require_columns(df, key, day, *spans.values())
     dated = F.col(day) if dict(df.dtypes)[day] in ("bigint", "int") else day_of(F.col(day))
 
     def amount(c: str) -> Column:
-        kept, known = F.col(c).try_cast(f"decimal(26,{SCALE})"), finite(F.col(c).try_cast("double"))
-        said = F.concat(F.lit(f"amount of 1e14 or more in column {c}: "), F.col(c).cast("string"))
+        kept, known = F.col(c).try_cast(f"decimal(38,{SCALE})"), finite(F.col(c).try_cast("double"))
+        said = F.concat(F.lit(f"amount of 1e23 or more in column {c}: "), F.col(c).cast("string"))
         return F.when(kept.isNull() & known.isNotNull(), F.raise_error(said)).otherwise(kept)
 
     entry: list[Column] = [

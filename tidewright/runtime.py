@@ -27,11 +27,19 @@ def with_known(df: DataFrame, column: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a fresh local one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``, which every machine of the cluster must reach.
+
+    Where the session names none, a local master gets a fresh temporary folder and a cluster a ValueError.  Spark
+    removes what is written there by ``cut_lineage`` once it isn't needed, if the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
         known = sc.getCheckpointDir()
     return known
 
