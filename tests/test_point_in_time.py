@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidewright.operators.point_in_time import enclosing_nodes, interval_nodes, match_as_of, with_attributes_as_of
+from tidewright.operators.point_in_time import enclosing_node, interval_nodes, match_as_of, with_attributes_as_of
 
 E = "event_id long, k string, t long"
 A = "k string, s long, e long, p long, value double"
@@ -25,10 +25,10 @@ def test_nodes_cover_exactly(spark):
     top = F.lit(6)
     rows = [(s, e) for s in range(0, 65, 7) for e in [*range(s, 65, 11), 64]]
     df = spark.createDataFrame(rows, "s long, e long").select("s", "e", interval_nodes(F.col("s"), F.col("e"), top).alias("n"))
-    levels = F.sequence(F.lit(0), top)
-    points = {r.t: set(r.n) for r in spark.range(64).select(F.col("id").alias("t"), enclosing_nodes(F.col("id"), top, levels).alias("n")).collect()}
+    every = F.array(*[enclosing_node(F.col("id"), top, F.lit(level)) for level in range(7)])
+    points = {r.t: set(r.n) for r in spark.range(64).select(F.col("id").alias("t"), every.alias("n")).collect()}
     for r in df.collect():
-        assert len(set(r.n)) == len(r.n) <= 2 * 6
+        assert len(set(r.n)) == len(r.n) <= 16 + 2 * 2
         for t, own in points.items():
             assert len(own & set(r.n)) == int(r.s <= t < r.e)
 

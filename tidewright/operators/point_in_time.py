@@ -26,6 +26,9 @@ from tidewright.runtime import partitions, require_columns
 
 #: Ticks of events span less than two to this power.
 DEEPEST = 60
+#: The coarsest nodes lie so many levels below the root: an interval lists at most 16 of them, and every event is
+#: spared as many asks.
+BELOW_ROOT = 4
 
 
 def _right(c: Column, bits: Column) -> Column:
@@ -41,21 +44,22 @@ def bits(c: Column) -> Column:
     return F.length(F.bin(c))
 
 
-def enclosing_nodes(place: Column, top: Column, levels: Column) -> Column:
-    """The nodes of the named levels that hold the place, a number in [0, 2**top)."""
-    leaf = _power(top) + place
-    return F.transform(levels, lambda level: _right(leaf, level))
+def enclosing_node(place: Column, top: Column, level: Column) -> Column:
+    """The node of the level that holds the place, a number in [0, 2**top)."""
+    return _right(_power(top) + place, level)
 
 
 def interval_nodes(start: Column, end: Column, top: Column) -> Column:
     """The disjoint nodes whose union is [start, end), both in [0, 2**top]; empty where start >= end."""
+    coarsest = F.greatest(top.cast("int") - BELOW_ROOT, F.lit(0))
 
     def of_level(level: Column) -> Column:
         low, high = _right(start + _power(level) - 1, level), _right(end, level)
         first, odd = _power(top - level), lambda c: c.bitwiseAND(1) == 1
-        return F.array_compact(F.array(F.when((low < high) & odd(low), first + low), F.when((low < high) & odd(high), first + high - 1)))
+        ends = F.array_compact(F.array(F.when(odd(low), first + low), F.when(odd(high), first + high - 1)))
+        return F.when(low >= high, F.array().cast("array<bigint>")).when(level < coarsest, ends).otherwise(F.sequence(first + low, first + high - 1))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), top.cast("int")), of_level))
+    return F.flatten(F.transform(F.sequence(F.lit(0), coarsest), of_level))
 
 
 def match_as_of(
@@ -108,7 +112,8 @@ def match_as_of(
     )
     levels = nodes.agg(F.collect_set((F.col("_top") + 1 - bits(F.col("_node"))).cast("int")).alias("_levels"))
     asked = points.join(F.broadcast(grid)).join(F.broadcast(levels)).select(
-        "_id", "_key", F.explode(enclosing_nodes(F.col("_tick") - F.col("_first"), F.col("_top"), F.col("_levels"))).alias("_node"))
+        "_id", "_key", (F.col("_tick") - F.col("_first")).alias("_place"), "_top", F.explode("_levels").alias("_level")).select(
+        "_id", "_key", enclosing_node(F.col("_place"), F.col("_top"), F.col("_level")).alias("_node"))
     spot = F.xxhash64("_key", "_node").alias("_spot")
     loaded = F.broadcast(frequent(asked.select(spot), "_spot", share).select("_spot", F.ceil(F.col("part") / share).cast("int").alias("_copies")))
 
