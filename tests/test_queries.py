@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-CATALOGUES = [importlib.import_module(f"tidewright.plans.{m}").catalogue for m in ("problems", "news_panel", "streams")]
+CATALOGUES = [importlib.import_module(f"tidewright.plans.{m}").catalogue for m in ("problems", "news_panel", "studies", "streams")]
 QUERIES = {n: q for c in CATALOGUES for n, q in c.queries.items()}
 SQL = {n: s for c in CATALOGUES for n, s in c.sql.items()}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
@@ -11,7 +12,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewright.operators.stats import confusion, regression_errors
 
@@ -27,6 +28,7 @@ class Learner:
     def __init__(self, estimator: Estimator, features: Sequence[str], target: str, seed: int = 42) -> None:
         self.estimator, self.features, self.target, self.seed = estimator, list(features), target, seed
         self.best: Mapping[str, Any] | None = None
+        self.best_score: float | None = None
         self.model: Model | None = None
 
     def _assembled(self, df: DataFrame) -> DataFrame:
@@ -38,21 +40,27 @@ class Learner:
         e._set(featuresCol="features", labelCol=self.target, seed=self.seed, **params)
         return e
 
-    def optimise(self, train: DataFrame, validation: DataFrame, space: Space, trials: int = 50) -> Mapping[str, Any]:
-        """Random search over ``space``, a function from a seeded generator to parameters; keeps and gives the best."""
-        rng, best = random.Random(self.seed), None
-        rows = self._assembled(train).select("features", self.target).persist()
+    def optimise(self, train: DataFrame, validation: DataFrame, space: Space, trials: int = 50,
+                 measure: Callable[[DataFrame], float] | None = None) -> Mapping[str, Any]:
+        """Random search over ``space``, a function from a seeded generator to parameters; keeps and gives the best.
+
+        ``measure`` gives a number to maximise for the validation rows with their ``prediction``; of equal ones the
+        earlier trial stays.  The default is the F1 of a classifier, the negative RMSE of a regressor.
+        """
+        rng, best, measure = random.Random(self.seed), None, measure or self.score
+        fitted_on, checked = self._assembled(train).select("features", self.target).persist(), self._assembled(validation).persist()
         try:
             for _ in range(trials):
                 params = dict(space(rng))
-                score = self.score(self._with(params).fit(rows).transform(self._assembled(validation)))
+                score = measure(self._with(params).fit(fitted_on).transform(checked))
                 if best is None or score > best[0]:
                     best = (score, params)
         finally:
-            rows.unpersist()
+            fitted_on.unpersist()
+            checked.unpersist()
         if best is None:
             raise ValueError("no trials")
-        self.best = best[1]
+        self.best_score, self.best = best
         return self.best
 
     def fit(self, train: DataFrame, params: Mapping[str, Any] | None = None) -> Learner:
@@ -87,15 +95,21 @@ class Learner:
         return sorted(zip(self.features, map(abs, values.toArray().tolist())), key=lambda x: (-x[1], x[0]))
 
     def save(self, path: str) -> None:
+        """Write the model to ``path`` and the best parameters, if any were searched, beside it as JSON."""
         if self.model is None:
             raise RuntimeError("nothing to save before fit")
         self.model.write().overwrite().save(path)
+        known = SparkSession.active().createDataFrame([(json.dumps(dict(self.best)) if self.best is not None else None,)], "value string")
+        known.coalesce(1).write.mode("overwrite").json(path.rstrip("/") + ".parameters")
 
     def load(self, path: str) -> Learner:
+        """Read the model and the best parameters; a model of another kind raises TypeError."""
         try:
             self.model = self.kind.load(path)
         except Exception as e:
             raise TypeError(f"{path} holds no {self.kind.__name__}") from e
+        found = SparkSession.active().read.schema("value string").json(path.rstrip("/") + ".parameters").first()
+        self.best = json.loads(found.value) if found is not None and found.value is not None else None
         return self
 
 

@@ -31,22 +31,23 @@ def choose(df: DataFrame, period: str, item: str, score: str, n: int) -> DataFra
     return df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
-def weight(kind: str, period: str, score: str = "score") -> Column:
-    """Weights that sum to 1 in a period of chosen rows: equal, score (min-max), softmax or rank."""
+WEIGHTINGS = ("equal", "score", "softmax", "rank")
+
+
+def weighted(chosen: DataFrame, kind: str, period: str, score: str = "score") -> DataFrame:
+    """Adds ``weight``, which sums to 1 in a period of chosen rows: equal, score (min-max), softmax or rank (by ``place``).
+
+    Scores are taken relative to the period's least or largest one first, so large ones neither overflow nor cancel;
+    a period of equal scores is weighted equally by "score".
+    """
     w = Window.partitionBy(period)
-    equal = F.lit(1.0) / F.count(F.lit(1)).over(w)
-    s = F.col(score)
-    if kind == "equal":
-        return equal
-    if kind == "score":
-        above = s - F.min(s).over(w)
-        total = F.sum(s).over(w) - F.min(s).over(w) * F.count(s).over(w)
-        return F.when((F.max(s).over(w) > F.min(s).over(w)) & (total > 0), above / total).otherwise(equal)
-    if kind == "softmax":
-        return F.exp(s - F.max(s).over(w)) / F.sum(F.exp(s)).over(w) * F.exp(F.max(s).over(w))
-    if kind == "rank":
-        return (F.lit(1.0) / F.col("place")) / F.sum(F.lit(1.0) / F.col("place")).over(w)
-    raise ValueError(f"unknown weighting {kind}")
+    s, equal = F.col(score).cast("double"), F.lit(1.0) / F.count(F.lit(1)).over(w)
+    raw = {"equal": F.lit(1.0), "score": s - F.min(s).over(w), "softmax": F.exp(s - F.max(s).over(w)), "rank": F.lit(1.0) / F.col("place")}
+    if kind not in raw:
+        raise ValueError(f"unknown weighting {kind}; known: {sorted(raw)}")
+    total = F.sum("_raw").over(w)
+    share = F.when(total > 0, F.col("_raw") / total).otherwise(equal)
+    return chosen.withColumn("_raw", raw[kind]).withColumn("weight", share).drop("_raw")
 
 
 def custom_weights(chosen: DataFrame, period: str, score: str, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -60,6 +61,42 @@ def custom_weights(chosen: DataFrame, period: str, score: str, fn: Callable[[np.
     return chosen.groupBy(period).applyInPandas(run, schema)
 
 
+Weighting = str | Callable[[np.ndarray], np.ndarray]
+
+
+def build(df: DataFrame, period: str, item: str, n: int, weighting: Weighting = "equal", score: str = "score") -> DataFrame:
+    """The n best rows of each period by a column of scores, with ``place`` and ``weight``.
+
+    ``weighting`` names one of ``WEIGHTINGS`` or is a function from a period's scores, best first, to weights.
+    """
+    if n < 1:
+        raise ValueError("n must be 1 or more")
+    if not callable(weighting) and weighting not in WEIGHTINGS:
+        raise ValueError(f"unknown weighting {weighting}; known: {WEIGHTINGS}")
+    chosen = choose(df, period, item, score, n)
+    return custom_weights(chosen, period, score, weighting) if callable(weighting) else weighted(chosen, weighting, period, score)
+
+
+def combined(probability: Column, predicted: Column) -> Column:
+    """The usual score of a row: the probability of a rise times the predicted return."""
+    return probability * predicted
+
+
+def build_by_models(df: DataFrame, classifier, regressor, period: str, item: str, n: int, weighting: Weighting = "equal",
+                    combine: Callable[[Column, Column], Column] = combined) -> DataFrame:
+    """``build`` by the score that ``combine`` makes of a fitted classifier's probability and a fitted regressor's prediction.
+
+    The result also has pred_prob, pred_ret and score.  Both models read their own feature columns of ``df``; a missing
+    model raises ValueError.
+    """
+    if classifier is None or regressor is None:
+        raise ValueError("give a classifier and a regressor, or use build with a column of scores")
+    require_columns(df, period, item)
+    likely = classifier.predict(df).withColumnRenamed("probability_1", "pred_prob").drop("prediction")
+    both = regressor.predict(likely).withColumnRenamed("prediction", "pred_ret")
+    return build(both.withColumn("score", combine(F.col("pred_prob"), F.col("pred_ret"))), period, item, n, weighting)
+
+
 def performance(portfolio: DataFrame, universe: DataFrame, period: str, ret: str) -> DataFrame:
     """Return of portfolio and benchmark, excess and compounded returns of every period; one row for a period."""
     chosen = F.sum(F.col(ret) * F.col("weight")) if "weight" in portfolio.columns else F.avg(ret)
@@ -70,7 +107,7 @@ def performance(portfolio: DataFrame, universe: DataFrame, period: str, ret: str
 
 
 def metrics(perf: DataFrame, portfolio: DataFrame, ret: str, score: str = "score", freq: int | str = 12) -> DataFrame:
-    """One row: annual returns, Sharpe ratio of the excess (0 without spread) and information coefficient."""
+    """One row: annual returns, Sharpe ratio of the portfolio's own return (0 without spread) and information coefficient."""
     k = periods_a_year(freq)
     sd = F.stddev_samp("port_ret")
     a = perf.agg((F.avg("port_ret") * k).alias("ann_port"), (F.avg("bench_ret") * k).alias("ann_bench"),
@@ -111,13 +148,18 @@ def rebalance(targets: DataFrame, prices: DataFrame, cash: float, cost: float =
     ``targets`` has book, period, ticker, weight and ``prices`` period, ticker, price.  Within a period the value
     is taken first (a missing price counts 0), then tickers in order: steps under 1e-6 and items without a
     positive price are passed over, cost is paid on what is traded.  ``close`` sells all at the last known prices.
-    Only held and wanted items of a book reach its task: a book's state can't be split, books are independent.
+    Of an item a book's task gets the periods in which it is wanted and the first priced one after each of these, in
+    which what is left of it is sold; nothing else can change the outcome.  A book's state can't be split, so its rows, at
+    most twice its target rows, go to one task; books are independent.
     """
     require_columns(targets, "book", "period", "ticker", "weight")
     require_columns(prices, "period", "ticker", "price")
-    needed = targets.select("book", "ticker").distinct().join(targets.select("book", "period").distinct(), "book")
-    quoted = needed.join(prices.select("period", "ticker", "price"), ["period", "ticker"], "left")
-    rows = quoted.join(targets.select("book", "period", "ticker", "weight"), ["book", "period", "ticker"], "left").select(
+    wanted = targets.select("book", "period", "ticker", "weight")
+    names = wanted.select("book", "ticker").distinct()
+    quoted = prices.select("period", "ticker", "price").join(names, "ticker").join(wanted.select("book", "period").distinct(), ["book", "period"])
+    both = quoted.join(wanted, ["book", "period", "ticker"], "full")
+    before = F.lag(F.col("weight").isNotNull()).over(Window.partitionBy("book", "ticker").orderBy("period"))
+    rows = both.withColumn("_due", F.col("weight").isNotNull() | before).where("_due").select(
         "book", F.col("period").cast("string").alias("period"), "ticker", "price", "weight")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:

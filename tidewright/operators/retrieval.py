@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import re
+import zlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import islice
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidewright.operators.sentiment import parse_reasoning
+from tidewright.operators.sentiment import Scorer, annotate, annotate_articles, explain_scores, label, parse_reasoning
 from tidewright.runtime import cut_lineage, require_columns
 
 
@@ -102,6 +105,44 @@ def nearest_terms(queries: DataFrame, terms: DataFrame, *, query_id: str, term:
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
+Embed = Callable[[list[str]], np.ndarray]
+
+
+def trigram_embedding(texts: list[str], size: int = 256) -> np.ndarray:
+    """Counts of hashed character trigrams, a row for each text: an embedding that needs no model."""
+    out = np.zeros((len(texts), size))
+    for row, t in zip(out, texts):
+        padded = f" {t.lower()} "
+        for i in range(len(padded) - 2):
+            row[zlib.crc32(padded[i:i + 3].encode()) % size] += 1
+    return out
+
+
+def embedded(df: DataFrame, text: str, embed: Embed, embedding: str = "embedding") -> DataFrame:
+    """Adds a vector for each text, made on the executors a batch at a time; a null text has a null vector."""
+    require_columns(df, text)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            known = f[text].notna()
+            made = iter(np.asarray(embed(f.loc[known, text].tolist()), float) if known.any() else ())
+            yield f.assign(**{embedding: pd.Series([next(made) if k else None for k in known], index=f.index, dtype=object)})
+
+    return df.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{embedding}` array<double>")
+
+
+def hint_corpus(spark: SparkSession, scorer: Scorer, embed: Embed) -> DataFrame:
+    """(term, valence, embedding) of a scorer's words and phrases that have a valence; phrases decide over words."""
+    terms = {k: v for k, v in {**scorer.words, **scorer.phrases}.items() if v}
+    return embedded(spark.createDataFrame(sorted(terms.items()), "term string, valence double"), "term", embed)
+
+
+def hint_lists(hints: DataFrame, query_id: str, term: str = "term", valence: str = "valence") -> DataFrame:
+    """(query_id, positive, negative): the terms that ``nearest_terms`` gives a query, nearest first; lists of at most k / 2."""
+    listed = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("place", term)))), lambda x: x[term])
+    return hints.groupBy(query_id).agg(listed(F.col(valence) > 0).alias("positive"), listed(F.col(valence) < 0).alias("negative"))
+
+
 class Backend(Protocol):
     """A model behind the rewriting: prompts to replies, a batch at a time; it must pickle."""
 
@@ -110,13 +151,18 @@ class Backend(Protocol):
     def batch(self, prompts: list[str]) -> list[str]: ...
 
 
-class EchoBackend:
-    """A stand-in that replies with the text behind the last colon of the prompt, tagged."""
+class FactsBackend:
+    """Needs no model: replies with the sentences of the prompt's text that hold a figure, or with the whole text."""
 
-    name = "echo"
+    name = "facts"
 
     def batch(self, prompts: list[str]) -> list[str]:
-        return [f"<reasoning>copied</reasoning><output>{p.rsplit('Text: ', 1)[-1]}</output>" for p in prompts]
+        out = []
+        for p in prompts:
+            text = p.split("Text: ", 1)[-1]
+            facts = [s for s in re.split(r"(?<=[.!?])[ \t\n\x0b\x0c\r]+", text) if re.search("[0-9]", s)]
+            out.append(f"<reasoning>{len(facts)} sentences with figures</reasoning><output>{' '.join(facts) or text}</output>")
+        return out
 
 
 #: Prompts by mode; ``{text}`` is replaced.
@@ -125,19 +171,33 @@ PROMPTS: Mapping[str, str] = {
     "summarize": "Sum this text up in two or three neutral, factual sentences. Text: {text}",
     "rewrite": "Restate this text as one literal sentence, sarcasm and double negation resolved. Text: {text}",
 }
+#: The prompt of a rewrite with hints; ``{positive}`` and ``{negative}`` are lists of terms.
+HINTED = ("Restate this text as one literal sentence, sarcasm and double negation resolved. Where they fit, use these terms for good news: "
+          "{positive}; and these for bad news: {negative}. Text: {text}")
 
 
-def normalise(df: DataFrame, text: str, backend: Backend, mode: str = "extract", threshold: int = 300, batch: int = 256) -> DataFrame:
-    """Adds normalized_text, reasoning_trace, llm_used, backend and mode.
+def normalise(df: DataFrame, text: str, backend: Backend, mode: str = "extract", threshold: int = 300, batch: int = 256,
+              hints: DataFrame | None = None, row_id: str | None = None) -> DataFrame:
+    """Adds normalized_text, reasoning_trace, llm_used, backend, mode and prompt_used.
 
-    Texts shorter than the threshold, and null ones, pass through unasked; an empty reply leaves the text.  The
-    model is called with at most ``batch`` prompts at a time, on the executors.
+    Texts shorter than the threshold, and null ones, pass through unasked; an empty reply leaves the text.  Whole
+    texts are sent.  The model is called with at most ``batch`` prompts at a time, on the executors.  In mode "rewrite"
+    rows with ``hints``, as ``hint_lists`` gives them by ``row_id``, are asked with these terms in the prompt, others without.
     """
-    require_columns(df, text)
+    require_columns(df, text, *([row_id] if hints is not None and row_id else []))
     if mode not in PROMPTS:
         raise ValueError(f"unknown mode {mode}; known: {sorted(PROMPTS)}")
-    asked = F.length(text) >= threshold
-    prompts = df.withColumn("_prompt", F.when(asked, F.replace(F.lit(PROMPTS[mode]), F.lit("{text}"), F.col(text))))
+    if hints is not None and row_id is None:
+        raise ValueError("hints need row_id")
+    given, filled = df.columns, lambda prompt, **parts: reduce(lambda c, kv: F.replace(c, F.lit("{" + kv[0] + "}"), kv[1]), parts.items(), F.lit(prompt))
+    prompt = filled(PROMPTS[mode], text=F.col(text))
+    if hints is not None and mode == "rewrite":
+        known = hints.select(F.col(row_id).alias("_hinted"), "positive", "negative")
+        df = df.join(known.withColumnsRenamed({"positive": "_positive", "negative": "_negative"}), F.col(row_id) == F.col("_hinted"), "left")
+        terms = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none")
+        some = F.coalesce(F.size("_positive") + F.size("_negative"), F.lit(0)) > 0
+        prompt = F.when(some, filled(HINTED, positive=terms("_positive"), negative=terms("_negative"), text=F.col(text))).otherwise(prompt)
+    prompts = df.withColumn("_prompt", F.when(F.length(text) >= threshold, prompt)).select(*given, "_prompt")
     schema = ", ".join(f"`{c}` {t}" for c, t in prompts.dtypes) + ", _reply string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,9 +211,53 @@ def normalise(df: DataFrame, text: str, backend: Backend, mode: str = "extract",
 
     replied = prompts.mapInPandas(run, schema)
     parsed = parse_reasoning(F.col("_reply"))
-    return replied.select(*df.columns, F.coalesce(F.nullif(parsed["output"], F.lit("")), F.col(text)).alias("normalized_text"),
+    return replied.select(*given, F.coalesce(F.nullif(parsed["output"], F.lit("")), F.col(text)).alias("normalized_text"),
                           parsed["reasoning"].alias("reasoning_trace"), F.col("_prompt").isNotNull().alias("llm_used"),
-                          F.when(F.col("_prompt").isNotNull(), F.lit(backend.name)).alias("backend"), F.lit(mode).alias("mode"))
+                          F.when(F.col("_prompt").isNotNull(), F.lit(backend.name)).alias("backend"), F.lit(mode).alias("mode"),
+                          F.col("_prompt").alias("prompt_used"))
+
+
+def annotate_news(df: DataFrame, text: str, scorer: Scorer = Scorer(), backend: Backend | None = None, mode: str = "extract",
+                  threshold: int = 300) -> DataFrame:
+    """The table with sentiment_score and sentiment_label of a text, or of what a backend makes of it.
+
+    With a backend also normalized_text and reasoning_trace, null where the backend wasn't asked.
+    """
+    if backend is None:
+        return annotate(df, text, scorer)
+    done = normalise(df, text, backend, mode, threshold)
+    scored = annotate(done, "normalized_text", scorer)
+    asked = lambda c: F.when(F.col("llm_used"), F.col(c)).alias(c)
+    return scored.select(*df.columns, "sentiment_score", "sentiment_label", asked("normalized_text"), asked("reasoning_trace"))
+
+
+@dataclass(frozen=True)
+class Annotator:
+    """A scorer with, if wished, a backend that texts of ``threshold`` characters or more pass first."""
+
+    scorer: Scorer = Scorer()
+    backend: Backend | None = None
+    mode: str = "rewrite"
+    threshold: int = 80
+
+    def annotate(self, df: DataFrame, text: str) -> DataFrame:
+        return annotate_news(df, text, self.scorer, self.backend, self.mode, self.threshold)
+
+    def articles(self, df: DataFrame, row_id: str, text: str, decay: float = 0.9) -> DataFrame:
+        if self.backend is not None:
+            df = normalise(df.select(row_id, text), text, self.backend, self.mode, self.threshold).select(row_id, F.col("normalized_text").alias(text))
+        return annotate_articles(df, row_id, text, self.scorer, decay)
+
+    def explain(self, df: DataFrame, row_id: str, text: str) -> DataFrame:
+        return explain_scores(df, row_id, text, self.scorer)
+
+
+def ensemble(df: DataFrame, scores: Sequence[str], score: str = "ensemble_score", label_as: str = "ensemble_label") -> DataFrame:
+    """Adds the mean of several score columns, nulls left out, and its label; null where all are null."""
+    require_columns(df, *scores)
+    known = F.array_compact(F.array(*[F.col(c).cast("double") for c in scores]))
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
+    return df.withColumn(score, mean).withColumn(label_as, F.when(F.col(score).isNotNull(), label(F.col(score))))
 
 
 def agreement(df: DataFrame, *labels: str) -> DataFrame:

@@ -1,14 +1,20 @@
 """Scoring texts by words, ordered context phrases and negation, in expressions only.
 
 A ``Scorer`` is an immutable set of choices; ``annotate`` adds columns to a table.  Nothing is shuffled and no
-Python runs: the lexicon is a constant map inside the plan, the phrase table a constant array that is folded
-over, each phrase hit blanking its place for those after it.
+Python runs.  The lexicon is a constant of the plan, dealt into small maps by a hash of the word, so a token costs
+the same with a hundred words as with the ``MOST_WORDS`` that a lexicon may have; a join would shuffle every token of
+every text to bring the texts together again.  Phrases that a text contains are picked first, and only texts with one
+are folded over theirs, each phrase hit blanking its place for those after it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import string
+import zlib
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,6 +23,12 @@ from tidewright.functions.text import strip
 from tidewright.runtime import require_columns
 
 
+#: Words that a lexicon may have, and phrases: they travel inside the plan.
+MOST_WORDS, MOST_PHRASES = 200_000, 2_000
+#: So many phrases are looked for by compiled code before any list of them is walked.
+FEW_PHRASES = 64
+
+
 def default_words() -> dict[str, float]:
     """Headline words under words of clear direction; neutral words are 0 unless they have a direction."""
     words = {w: 0.0 for w in W.NEUTRAL_WORDS} | W.HEADLINE_WORDS
@@ -60,6 +72,8 @@ class Scorer:
             raise ValueError("negative_to must lie in (-1, 0)")
         if not 0 < self.phrase_weight <= 1:
             raise ValueError("phrase_weight must lie in (0, 1]")
+        if len(self.words) > MOST_WORDS or len(self.phrases) > MOST_PHRASES:
+            raise ValueError(f"at most {MOST_WORDS} words and {MOST_PHRASES} phrases")
 
     def with_words(self, words: Mapping[str, float]) -> Scorer:
         return replace(self, words={**self.words, **{k.lower(): float(v) for k, v in words.items()}})
@@ -71,6 +85,19 @@ class Scorer:
     def with_phrases(self, phrases: Mapping[str, float]) -> Scorer:
         return replace(self, phrases={**self.phrases, **{k.lower(): float(v) for k, v in phrases.items()}})
 
+    @classmethod
+    def from_table(cls, lexicon: DataFrame, word: str = "word", valence: str = "valence", **choices) -> Scorer:
+        """A scorer of the words of a table, as ``tiered_lexicon`` gives one; more than ``MOST_WORDS`` rows raise ValueError.
+
+        Words are lower-cased; of a word that occurs twice the smallest valence counts; null words and valences don't.
+        """
+        require_columns(lexicon, word, valence)
+        known = lexicon.select(F.lower(strip(F.col(word))).alias("w"), F.col(valence).cast("double").alias("v")).where("w <> '' and v is not null")
+        rows = known.groupBy("w").agg(F.min("v").alias("v")).limit(MOST_WORDS + 1).collect()
+        if len(rows) > MOST_WORDS:
+            raise ValueError(f"a lexicon may have {MOST_WORDS} words")
+        return cls(words={r.w: r.v for r in rows}, **choices)
+
     def snapshot(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(sorted(self.words.items()), "word string, valence double")
 
@@ -83,71 +110,93 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
 
 
-def _map(values: Mapping[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+def _lookup(values: Mapping[str, float]) -> Callable[[Column], Column]:
+    """A function from a word to its value, 0 for an unknown one: the word's checksum picks one of many small maps."""
+    size = max(1, len(values))
+    maps: list[dict[str, float]] = [{} for _ in range(size)]
+    for w, v in values.items():
+        maps[zlib.crc32(w.encode()) % size][w] = float(v)
+    table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,double>>")
+    return lambda w: F.coalesce(F.try_element_at(F.get(table, (F.crc32(w) % size).cast("int")), w), F.lit(0.0))
 
 
-def _strings(values: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, values))
+def phrase_hits(text: Column, low: Column, scorer: Scorer) -> Column:
+    """struct(text, hits): the text with hit phrases blanked, and array of struct(phrase, adj, negated) in table order.
 
-
-def phrase_hits(text: Column, scorer: Scorer) -> Column:
-    """struct(text, hits): the text with hit phrases blanked, and array of struct(phrase, adj, negated) in table order."""
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(v).alias("v")) for p, v in scorer.phrases.items()])
+    ``low`` is the text in lower case, a column of its own, so that it is made once.
+    """
+    pairs = json.dumps([{"p": p, "v": v} for p, v in scorer.phrases.items()])
+    table = F.from_json(F.lit(pairs), "array<struct<p:string,v:double>>")
+    negators = F.from_json(F.lit(json.dumps(W.NEGATORS)), "array<string>")
     hit = "struct<phrase:string,adj:double,negated:boolean>"
-    start = F.struct(text.alias("text"), F.array().cast(f"array<{hit}>").alias("hits"))
+    nothing = F.struct(text.alias("text"), F.array().cast(f"array<{hit}>").alias("hits"))
+    # blanking only takes phrases away, so those of the whole text are all that can be hit
+    held = F.filter(table, lambda x: F.contains(low, x["p"]))
 
     def step(acc: Column, x: Column) -> Column:
         low = F.lower(acc["text"])
         before = F.regexp_extract_all(F.split_part(low, x["p"], F.lit(1)), F.lit("[a-z]+"), F.lit(0))
-        negated = F.arrays_overlap(F.slice(F.reverse(before), 1, 6), _strings(W.NEGATORS)) if scorer.negate else F.lit(False)
+        negated = F.arrays_overlap(F.slice(F.reverse(before), 1, 6), negators) if scorer.negate else F.lit(False)
         cleared = (F.regexp_replace(acc["text"], F.concat(F.lit(r"(?i)\Q"), x["p"], F.lit(r"\E")), F.repeat(F.lit(" "), F.length(x["p"])))
                    if scorer.blank else acc["text"])
         found = F.struct(x["p"].alias("phrase"), F.when(negated, -x["v"]).otherwise(x["v"]).alias("adj"), negated.alias("negated"))
         return F.when(F.contains(low, x["p"]), F.struct(cleared.alias("text"), F.concat(acc["hits"], F.array(found)).alias("hits"))).otherwise(acc)
 
-    return F.aggregate(table, start, step)
+    folded = F.aggregate(held, nothing, step)
+    if len(scorer.phrases) > FEW_PHRASES:
+        return folded
+    return F.when(reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in scorer.phrases], F.lit(False)), folded).otherwise(nothing)
 
 
 def _tokens(text: Column) -> Column:
-    bare = lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", "")
-    return F.filter(F.transform(F.split(strip(text), r"\s+"), lambda w: F.when(F.length(bare(w)) <= 2, w).otherwise(bare(w))), lambda w: w != "")
+    """Words without punctuation at their ends, unless at most two characters would be left; as struct(w, its lower case l)."""
+    words = F.transform(F.split(strip(text), r"\s+"), lambda w: F.struct(w.alias("w"), F.btrim(w, F.lit(string.punctuation)).alias("b")))
+    kept = F.transform(words, lambda x: F.when(F.length(x["b"]) <= 2, x["w"]).otherwise(x["b"]))
+    return F.transform(F.filter(kept, lambda w: w != ""), lambda w: F.struct(w.alias("w"), F.lower(w).alias("l")))
 
 
 def _plain_sum(text: Column, scorer: Scorer) -> Column:
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)),
-                        lambda w: F.coalesce(F.try_element_at(_map(scorer.words), w), F.lit(0.0)))
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), _lookup(scorer.words))
     return F.aggregate(found, F.lit(0.0), lambda a, v: a + v)
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column by a generator, so that its steps aren't repeated in each expression that uses it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+#: Marks of a word that turns what follows, beside the scales of intensifiers and dampeners.
+_TURNS = 9.0
+
+
 def _with_rules(df: DataFrame, scorer: Scorer) -> DataFrame:
     """Adds _sum, the valence sum by the published rules, of the column _blanked."""
-    df = df.withColumn("_w", _tokens(F.col("_blanked"))).withColumn("_l", F.transform("_w", F.lower))
-    upper = lambda w: (w == F.upper(w)) & (w != F.lower(w))
-    df = df.withColumn("_caps", F.exists("_w", upper) & F.exists("_w", lambda w: ~upper(w)))
-    scale = lambda w: (F.when(F.array_contains(_strings(W.INTENSIFIERS), w), W.INTENSITY)
-                       .when(F.array_contains(_strings(W.DAMPENERS), w), -W.INTENSITY).otherwise(0.0))
-    df = df.withColumns({"_v": F.transform("_l", lambda w: F.coalesce(F.try_element_at(_map(scorer.words), w), F.lit(0.0))),
-                         "_s": F.transform("_l", scale),
-                         "_n": F.transform("_l", lambda w: F.array_contains(_strings(W.NEGATORS), w) | w.endswith("n't"))})
+    marks = {w: W.INTENSITY for w in W.INTENSIFIERS} | {w: -W.INTENSITY for w in W.DAMPENERS} | {w: _TURNS for w in W.NEGATORS}
+    valence_of, mark_of = _lookup(scorer.words), _lookup(marks)
+    upper = lambda t: (t["w"] == F.upper(t["w"])) & (t["w"] != t["l"])
+    word = lambda t: F.struct(t["w"].alias("w"), t["l"].alias("l"), valence_of(t["l"]).alias("v"),
+                              F.when(t["l"].endswith("n't"), _TURNS).otherwise(mark_of(t["l"])).alias("m"))
+    df = _once(df, "_t", F.transform(_tokens(F.col("_blanked")), word))
+    caps = F.exists("_t", upper) & F.exists("_t", lambda t: ~upper(t))
     sign = lambda v: F.when(v > 0, 1.0).otherwise(-1.0)
 
-    def valence(v: Column, i: Column) -> Column:
-        loud = F.when(F.col("_caps") & upper(F.get("_w", i)), sign(v) * W.CAPITALS).otherwise(0.0)
-        out = v + loud
-        for k, damp in ((1, 1.0), (2, 0.95), (3, 0.9)):
-            out = out + F.coalesce(F.get("_s", i - k), F.lit(0.0)) * damp * sign(v)
-        flips = F.coalesce(F.get("_n", i - 1), F.lit(False)) | F.coalesce(F.get("_n", i - 2), F.lit(False)) | F.coalesce(F.get("_n", i - 3), F.lit(False))
-        return F.when(v == 0, 0.0).otherwise(F.when(flips, out * W.NEGATION).otherwise(out))
-
-    df = df.withColumn("_v", F.transform("_v", valence)).withColumn("_but", F.array_position("_l", "but").cast("int"))
-    weighted = F.transform("_v", lambda v, i: F.when((F.col("_but") == 0) | (i + 1 == F.col("_but")), v)
-                           .when(i + 1 < F.col("_but"), v * 0.5).otherwise(v * 1.5))
-    total = F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v)
-    marks = F.least(F.regexp_count("_blanked", F.lit("!")), F.lit(4)) * W.EXCLAMATION
+    def valence(t: Column, i: Column) -> Column:
+        v = t["v"]
+        back = [F.coalesce(F.get("_t", i - k)["m"], F.lit(0.0)) for k in (1, 2, 3)]
+        scaled = v + F.when(F.col("_caps") & upper(t), sign(v) * W.CAPITALS).otherwise(0.0)
+        for m, damp in zip(back, (1.0, 0.95, 0.9)):
+            scaled = scaled + F.when(m == _TURNS, 0.0).otherwise(m) * damp * sign(v)
+        flips = (back[0] == _TURNS) | (back[1] == _TURNS) | (back[2] == _TURNS)
+        side = F.when((F.col("_but") == 0) | (i + 1 == F.col("_but")), 1.0).when(i + 1 < F.col("_but"), 0.5).otherwise(1.5)
+        return F.when(v == 0, 0.0).otherwise(scaled * F.when(flips, W.NEGATION).otherwise(1.0) * side)
+
+    speaks = F.exists("_t", lambda t: t["v"] != 0)
+    df = df.withColumns({"_caps": speaks & caps, "_but": F.when(speaks, F.array_position(F.transform("_t", lambda t: t["l"]), "but")).cast("int")})
+    marks_in = F.least(F.regexp_count("_blanked", F.lit("!")), F.lit(4)) * W.EXCLAMATION
     asks = F.regexp_count("_blanked", F.lit(r"\?"))
-    marks = marks + F.when(asks > 3, W.QUESTIONS).when(asks > 1, asks * W.QUESTION).otherwise(0.0)
-    return df.withColumn("_sum", total).withColumn("_sum", F.col("_sum") + F.when(F.col("_sum") > 0, marks).when(F.col("_sum") < 0, -marks).otherwise(0.0))
+    loud = marks_in + F.when(asks > 3, W.QUESTIONS).when(asks > 1, asks * W.QUESTION).otherwise(0.0)
+    df = _once(df, "_total", F.when(F.col("_but").isNotNull(), F.aggregate(F.transform("_t", valence), F.lit(0.0), lambda a, v: a + v)).otherwise(0.0))
+    return df.withColumn("_sum", F.col("_total") + F.when(F.col("_total") > 0, loud).when(F.col("_total") < 0, -loud).otherwise(0.0))
 
 
 def compound(total: Column) -> Column:
@@ -158,18 +207,21 @@ def annotate(df: DataFrame, text: str, scorer: Scorer = Scorer(), score: str = "
              label_as: str | None = "sentiment_label", keep_hits: bool = False) -> DataFrame:
     """The table with the score in [-1, 1] and its label; an empty or null text scores 0.
 
-    With ``keep_hits`` also ``phrase_hits`` and ``base``.  Columns starting with "_" that it uses are dropped.
+    With ``keep_hits`` also ``phrase_hits``, ``base``, ``adjustment`` and ``blanked``.  Columns starting with "_" that
+    it uses are dropped.
     """
     require_columns(df, text)
     given = [c for c in df.columns if c not in (score, label_as)]
-    df = df.withColumn("_hit", phrase_hits(F.coalesce(F.col(text), F.lit("")), scorer)).withColumn("_blanked", F.col("_hit.text"))
+    df = df.withColumn("_given", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", F.lower("_given"))
+    df = _once(df, "_hit", phrase_hits(F.col("_given"), F.col("_low"), scorer)).withColumn("_blanked", F.col("_hit.text"))
     df = _with_rules(df, scorer) if scorer.rules else df.withColumn("_sum", _plain_sum(F.col("_blanked"), scorer))
     n = F.size("_hit.hits")
     adjust = F.when(n > 0, F.aggregate("_hit.hits", F.lit(0.0), lambda a, h: a + h["adj"]) / n * scorer.phrase_weight).otherwise(0.0)
-    df = df.withColumn("_base", compound(F.col("_sum"))).withColumn(score, clamp(F.col("_base") + adjust))
+    df = _once(df, "_base", compound(F.col("_sum"))).withColumn("_adjust", adjust).withColumn(score, clamp(F.col("_base") + F.col("_adjust")))
     if label_as:
         df = df.withColumn(label_as, label(F.col(score), scorer.positive_from, scorer.negative_to))
-    hits = [F.col("_hit.hits").alias("phrase_hits"), F.col("_base").alias("base"), F.col("_blanked").alias("blanked")] if keep_hits else []
+    hits = [F.col("_hit.hits").alias("phrase_hits"), F.col("_base").alias("base"), F.col("_adjust").alias("adjustment"),
+            F.col("_blanked").alias("blanked")] if keep_hits else []
     return df.select(*given, score, *([label_as] if label_as else []), *hits)
 
 
@@ -193,16 +245,31 @@ def annotate_articles(df: DataFrame, row_id: str, text: str, scorer: Scorer = Sc
     return out.select(F.col("_id").alias(row_id), "n_sentences", "score", label(F.col("score"), scorer.positive_from, scorer.negative_to).alias("label"))
 
 
-def explain(df: DataFrame, row_id: str, text: str, scorer: Scorer = Scorer()) -> DataFrame:
-    """One row for each word and phrase that speaks in a text: (row_id, source, token, valence, negated)."""
-    scored = annotate(df.select(row_id, F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text", scorer, "_score", None, keep_hits=True)
-    words = F.filter(F.transform(F.array_distinct(F.regexp_extract_all(F.lower("blanked"), F.lit("[a-z]+"), F.lit(0))),
-                                 lambda w: F.struct(F.lit("word").alias("source"), w.alias("token"),
-                                                    F.coalesce(F.try_element_at(_map(scorer.words), w), F.lit(0.0)).alias("valence"),
-                                                    F.lit(False).alias("negated"))), lambda s: s["valence"] != 0)
+def explain_scores(df: DataFrame, row_id: str, text: str, scorer: Scorer = Scorer()) -> DataFrame:
+    """What a score is made of: (row_id, base, adjustment, score, label, hits).
+
+    ``hits`` is an array of struct(place, source, token, valence, negated): every word of the blanked text that has a
+    valence, once, and every phrase hit, by the size of the valence from large to small; equal sizes: words first, as they
+    come in the text.  An empty or null text has base, adjustment and score 0 and no hits.
+    """
+    rows = df.select(F.col(row_id).alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    scored = annotate(rows, "_text", scorer, "score", "label", keep_hits=True)
+    known = _lookup(scorer.words)
+    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("blanked"), F.lit("[a-z]+"), F.lit(0))),
+                        lambda w: F.struct(F.lit("word").alias("source"), w.alias("token"), known(w).alias("valence"), F.lit(False).alias("negated")))
     phrases = F.transform("phrase_hits", lambda h: F.struct(F.lit("phrase").alias("source"), h["phrase"].alias("token"),
                                                             h["adj"].alias("valence"), h["negated"].alias("negated")))
-    return scored.select(row_id, F.explode(F.concat(words, phrases)).alias("x")).select(row_id, "x.*")
+    both = F.concat(F.filter(words, lambda w: w["valence"] != 0), phrases)
+    keyed = F.array_sort(F.transform(both, lambda h, i: F.struct((-F.abs(h["valence"])).alias("size"), i.alias("i"), h.alias("h"))))
+    placed = F.transform(keyed, lambda k, i: F.struct((i + 1).alias("place"), k["h"]["source"].alias("source"), k["h"]["token"].alias("token"),
+                                                      k["h"]["valence"].alias("valence"), k["h"]["negated"].alias("negated")))
+    return scored.select(F.col("row_id").alias(row_id), "base", "adjustment", "score", "label", placed.alias("hits"))
+
+
+def explain(df: DataFrame, row_id: str, text: str, scorer: Scorer = Scorer(), most: int | None = None) -> DataFrame:
+    """One row for each word and phrase that speaks in a text, at most ``most`` a text: (row_id, place, source, token, valence, negated)."""
+    rows = explain_scores(df, row_id, text, scorer).select(row_id, F.explode("hits").alias("x")).select(row_id, "x.*")
+    return rows if most is None else rows.where(F.col("place") <= most)
 
 
 def parse_model_score(reply: Column) -> Column:

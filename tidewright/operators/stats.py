@@ -66,14 +66,14 @@ def regression_errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def permutation_f1(df: DataFrame, actual: str, predicted: str, permutations: int = 10_000, seed: int = 42) -> DataFrame:
     """F1 of shuffled labels: (permutation, f1).  Only the true positives vary, and they are hypergeometric in the
-    margins, so a permutation costs one draw whatever the number of rows; draws are made on the executors."""
+    margins, so a permutation costs one draw whatever the number of rows; draws are made on the executors, each seeded
+    by its own number, so they don't depend on how they are dealt over tasks."""
     c = confusion(df, actual, predicted).first()
     rows, ones, said = c.tp + c.fp + c.fn + c.tn, c.tp + c.fn, c.tp + c.fp
 
     def draw(frames):
         for f in frames:
-            rng = np.random.default_rng([seed, int(f["id"].iloc[0]) if len(f) else 0])
-            tp = rng.hypergeometric(ones, rows - ones, said, len(f)) if said else np.zeros(len(f))
+            tp = np.array([np.random.default_rng([seed, i]).hypergeometric(ones, rows - ones, said) if said else 0 for i in f["id"]], float)
             yield f.assign(permutation=f["id"], f1=2 * tp / max(ones + said, 1))[["permutation", "f1"]]
 
     return df.sparkSession.range(permutations).mapInPandas(draw, "permutation bigint, f1 double")
@@ -90,6 +90,46 @@ def permutation_p(df: DataFrame, actual: str, predicted: str, permutations: int
     return {"f1": c.f1, "p": p, "exact_p": min(1.0, exact)}
 
 
+def correlation_tests(df: DataFrame, xs: Sequence[str], y: str) -> dict:
+    """n rows with all of xs and y, r and p of each x with y, and whether any p is under 0.05."""
+    whole = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in (*xs, y)]).na.drop()
+    each = {x: correlation_p(whole, x, y) for x in xs}
+    return {"n": next(iter(each.values()))["n"], **{f"r_{x}": e["r"] for x, e in each.items()}, **{f"p_{x}": e["p"] for x, e in each.items()},
+            "significant": any(e["significant"] for e in each.values())}
+
+
+def all_tests(performance: DataFrame, panel: DataFrame, xs: Sequence[str], y: str, classified: DataFrame, regressed: DataFrame,
+              permutations: int = 10_000, seed: int = 42) -> dict:
+    """The four tests together: excess over 0, sentiment with return, permuted labels, and forecasts against 0.
+
+    ``classified`` has actual and predicted classes as a and p, ``regressed`` actual and predicted values as y and e.
+    """
+    gain = forecast_gain(regressed, "y", "e").first().asDict()
+    p = t_upper(gain["t"], gain["n"] - 1) if gain["t"] is not None and gain["n"] > 1 else math.nan
+    shuffled = permutation_p(classified, "a", "p", permutations, seed)
+    return {"alpha": one_sided(performance, "excess"), "correlation": correlation_tests(panel, xs, y),
+            "permutation": shuffled | {"significant": shuffled["p"] < 0.05}, "diebold_mariano": gain | {"p": p, "significant": p < 0.05}}
+
+
+def confusion_by(df: DataFrame, split: str, actual: str, predicted: str) -> DataFrame:
+    """(split, actual, predicted, n): a confusion matrix of each split, cells without rows left out."""
+    return df.groupBy(split, actual, predicted).agg(F.count(F.lit(1)).alias("n"))
+
+
+def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n, nulls, mean, sd, least, largest) of number columns, in one aggregation; NaN and infinite values count as null."""
+    v = {c: finite(F.col(c).cast("double")) for c in columns}
+    cells = [F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), (F.count(F.lit(1)) - F.count(x)).alias("nulls"), F.avg(x).alias("mean"),
+                      F.stddev_samp(x).alias("sd"), F.min(x).alias("least"), F.max(x).alias("largest")) for c, x in v.items()]
+    return df.agg(F.array(*cells).alias("_all")).select(F.explode("_all").alias("_c")).select("_c.*")
+
+
+def drift(df: DataFrame, before: str, after: str) -> DataFrame:
+    """One row: n rows with both scores, their mean absolute difference, and the largest one."""
+    d = F.abs(F.col(after) - F.col(before))
+    return df.agg(F.count(d).alias("n"), F.avg(d).alias("mean_abs"), F.max(d).alias("largest"))
+
+
 def ols_hc3(df: DataFrame, y: str, xs: Sequence[str], intercept: bool = False) -> dict:
     """Least squares with HC3 errors: coefficients, errors, t, p, R2 (centred), F and its p.
 

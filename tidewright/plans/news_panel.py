@@ -14,7 +14,8 @@ from tidewright.operators import charts, features as feat, panel, portfolio as p
 from tidewright.operators.trailing import latest_version
 from tidewright.plans.problems import SQL_DAY, SQL_TICKER, days
 from tidewright.plans.registry import Catalogue
-from tidewright.runtime import with_known
+from tidewright.plans.scoring_sql import ALL_SPACE, scored, values
+from tidewright.runtime import cut_lineage, with_known
 from tidewright.sources.tables import table
 
 catalogue = Catalogue()
@@ -47,27 +48,26 @@ def clean_news(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("ticker is not null and headline is not null").dropDuplicates(["news_id"])
 
 
-#: A scorer without the word-order rules, which SQL can say too.
+#: A scorer of words and phrases without order, blanking and negation.
 PLAIN = sentiment.Scorer(blank=False, negate=False, rules=False)
+FULL = sentiment.Scorer()
 
-
-def _values(pairs: dict, name: str, columns: str) -> str:
-    rows = ", ".join(f"('{k}', cast({v} as double))" for k, v in pairs.items())
-    return f"{name}({columns}) as (values {rows})"
-
-
-_SCORED = _NEWS + ", " + _values(PLAIN.words, "lex", "word, v") + ", " + _values(PLAIN.phrases, "phr", "phrase, a") + """,
+_LABEL = "case when score >= 0.05 then 'positif' when score <= -0.05 then 'négatif' else 'neutre' end"
+_PLAIN_SCORED = _NEWS + ", " + values(PLAIN.words, "lex", "word, v") + ", " + values(PLAIN.phrases, "phr", "phrase, a") + f""",
 tok as (select news_id, unnest(regexp_extract_all(lower(headline), '[a-z]+')) as w from n),
 bs as (select news_id, sum(v) as s from tok join lex on w = word group by news_id),
 ph as (select news_id, avg(a) * 0.3 as a from n join phr on contains(lower(headline), phrase) group by news_id),
 sc as (select n.*, greatest(-1, least(1, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15) + coalesce(a, 0))) as score
        from n left join bs using (news_id) left join ph using (news_id)),
-sl as (select *, case when score >= 0.05 then 'positif' when score <= -0.05 then 'négatif' else 'neutre' end as label from sc)
+sl as (select *, {_LABEL} as label from sc)
+"""
+_SCORED = "recursive " + _NEWS + ", src as (select news_id as id, headline as text from n), " + scored("src", FULL.words, FULL.phrases) + f""",
+sl as (select n.*, base, adjustment, n_phrases, score, {_LABEL} as label from n join scored on news_id = id)
 """
 
 
 def scored_news(spark: SparkSession, folder: str) -> DataFrame:
-    return sentiment.annotate(clean_news(spark, folder), "headline", PLAIN)
+    return sentiment.annotate(clean_news(spark, folder), "headline", FULL)
 
 
 _PRICES = f"""
@@ -138,26 +138,64 @@ def q_headline_score_label(spark, folder):
     return scored_news(spark, folder).select("news_id", _r("sentiment_score"), "sentiment_label")
 
 
-@catalogue.add("phrase_negation")
+@catalogue.add("plain_score_label", f"with {_PLAIN_SCORED} select news_id, round(score, 6) as sentiment_score, label as sentiment_label from sl")
+def q_plain_score_label(spark, folder):
+    """The study's scorer: words and phrases alone."""
+    return sentiment.annotate(clean_news(spark, folder), "headline", PLAIN).select("news_id", _r("sentiment_score"), "sentiment_label")
+
+
+@catalogue.add("phrase_negation", f"with {_SCORED} select news_id, round(base, 6) as base, round(adjustment, 6) as adjustment, cast(n_phrases as bigint) as n_phrases from sl")
 def q_phrase_negation(spark, folder):
-    """Headlines with the full rules: phrases blank what they cover, negators turn phrases and words."""
-    return sentiment.annotate(clean_news(spark, folder), "headline").select("news_id", _r("sentiment_score"), "sentiment_label")
+    """The parts of the full score: phrases blank what they cover, negators turn phrases and words."""
+    full = sentiment.annotate(clean_news(spark, folder), "headline", FULL, keep_hits=True)
+    return full.select("news_id", _r("base"), _r("adjustment"), F.size("phrase_hits").cast("long").alias("n_phrases"))
 
 
-@catalogue.add("explain_tokens", f"""with {_SCORED}
-select news_id, 'word' as source, w as token, v as valence, false as negated from (select distinct news_id, w from tok) join lex on w = word where v <> 0
-union all select news_id, 'phrase', phrase, a, false from n join phr on contains(lower(headline), phrase)""")
+@catalogue.add("explain_tokens", f"""with {_PLAIN_SCORED},
+x as (select news_id, 'word' as source, w as token, v as valence, false as negated from (select distinct news_id, w from tok) join lex on w = word where v <> 0
+union all select news_id, 'phrase', phrase, a, false from n join phr on contains(lower(headline), phrase))
+select * from x""")
 def q_explain_tokens(spark, folder):
-    return sentiment.explain(clean_news(spark, folder), "news_id", "headline", PLAIN)
+    return sentiment.explain(clean_news(spark, folder), "news_id", "headline", PLAIN).drop("place")
+
+
+@catalogue.add("explain_scores", f"""with {_SCORED},
+wh as (select distinct id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from blanked),
+wv as (select id, count(*) as n from wh join lexicon on w = word where v <> 0 group by id)
+select news_id, round(base, 6) as base, round(adjustment, 6) as adjustment, round(score, 6) as score, label, coalesce(n, 0) + n_phrases as n_hits
+from sl left join wv on wv.id = news_id""")
+def q_explain_scores(spark, folder):
+    """What every score is made of."""
+    made = sentiment.explain_scores(clean_news(spark, folder), "news_id", "headline", FULL)
+    return made.select("news_id", _r("base"), _r("adjustment"), _r("score"), "label", F.size("hits").cast("long").alias("n_hits"))
+
+
+@catalogue.add("loudest_words", f"""with {_SCORED},
+wh as (select distinct id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from blanked)
+select w as token, count(*) as texts from wh join lexicon on w = word where v <> 0 group by w""")
+def q_loudest_words(spark, folder):
+    """In how many headlines each word speaks."""
+    hits = sentiment.explain(clean_news(spark, folder), "news_id", "headline", FULL).where("source = 'word'")
+    return hits.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+
 
+_SENTENCES = f"""
+d0 as (select doc_id, coalesce(text, '') as text from documents),
+cut as (select doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\x0b\x0c\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {ALL_SPACE})),
+        lambda x: length(x) >= 10) as ss from d0),
+chosen as (select doc_id, case when len(ss) <= 1 then [text] else ss end as ss from cut),
+src as (select doc_id * 100000 + generate_subscripts(ss, 1) as id, unnest(ss) as text from chosen)"""
 
-@catalogue.add("article_decay_score")
+
+@catalogue.add("article_decay_score", f"with recursive {_SENTENCES}, {scored('src', FULL.words, FULL.phrases)}, "
+               "sums as (select id // 100000 as doc_id, count(*) as n_sentences, sum(score * power(0.9, id % 100000 - 1)) / sum(power(0.9, id % 100000 - 1)) as score from scored group by 1) "
+               f"select doc_id, n_sentences, round(greatest(-1, least(1, score)), 6) as score, {_LABEL} as label from sums")
 def q_article_decay_score(spark, folder):
     documents = table(spark, folder, "documents")
     return _rounded(sentiment.annotate_articles(documents, "doc_id", "text"))
 
 
-@catalogue.add("lexicon_snapshot", f"with {_values(PLAIN.words, 'lex', 'word, v')}, t as (select distinct news_id, headline from news where headline is not null), "
+@catalogue.add("lexicon_snapshot", f"with {values(PLAIN.words, 'lex', 'word, v')}, t as (select distinct news_id, headline from news where headline is not null), "
                "w as (select unnest(regexp_extract_all(lower(headline), '[a-z]+')) as word from t) "
                "select word, v as valence, count(*) as uses from w join lex using (word) group by all")
 def q_lexicon_snapshot(spark, folder):
@@ -173,14 +211,20 @@ def q_label_pivot(spark, folder):
     return scored_news(spark, folder).groupBy("ticker").pivot("sentiment_label", [W.POSITIVE, W.NEUTRAL, W.NEGATIVE]).count().na.fill(0).withColumnRenamed(W.NEGATIVE, "negatif")
 
 
-@catalogue.add("two_scorers_agree", f"with {_SCORED}, s2 as (select news_id, coalesce(sum(v), 0) as s from n left join tok using (news_id) left join lex on w = word group by 1), "
-               "b as (select case when s / sqrt(s * s + 15) >= 0.05 then 'positif' when s / sqrt(s * s + 15) <= -0.05 then 'négatif' else 'neutre' end as l2, label "
-               "from s2 join sl using (news_id)) select round(avg(case when l2 = label then 1.0 else 0.0 end), 6) as words_both, "
-               "round(avg(case when l2 = label then 1.0 else 0.0 end), 6) as all_agree from b")
+@catalogue.add("two_scorers_agree", f"""with {_SCORED}, lex as (select * from lexicon), tok as (select news_id, unnest(regexp_extract_all(lower(headline), '[a-z]+')) as w from n),
+s2 as (select n.news_id, coalesce(sum(v), 0) as s from n left join tok using (news_id) left join lex on w = word group by 1),
+ph as (select news_id, avg(a) * 0.3 as a from n join phrase_table on contains(lower(headline), phrase) group by news_id),
+b as (select label as l_full, case when c >= 0.05 then 'positif' when c <= -0.05 then 'négatif' else 'neutre' end as l_words,
+             case when p >= 0.05 then 'positif' when p <= -0.05 then 'négatif' else 'neutre' end as l_plain
+      from (select news_id, s / sqrt(s * s + 15) as c, greatest(-1, least(1, s / sqrt(s * s + 15) + coalesce(a, 0))) as p from s2 left join ph using (news_id)) join sl using (news_id))
+select round(avg(cast(l_words = l_plain as int)), 6) as words_plain, round(avg(cast(l_words = l_full as int)), 6) as words_full, round(avg(cast(l_plain = l_full as int)), 6) as plain_full,
+  round(avg(cast(l_words = l_plain and l_plain = l_full as int)), 6) as all_agree from b""")
 def q_two_scorers_agree(spark, folder):
-    """How often labels by words alone and by words and phrases agree."""
-    both = sentiment.annotate(scored_news(spark, folder).withColumnRenamed("sentiment_label", "both"), "headline", replace(PLAIN, phrases={"\x00": 0.0}), "_s", "words")
-    return _rounded(retrieval.agreement(both, "words", "both"))
+    """How often labels by words alone, by words and phrases, and by the full rules agree, two and two and all."""
+    rows = clean_news(spark, folder).select("news_id", "headline")
+    for name, scorer in (("words", replace(PLAIN, phrases={})), ("plain", PLAIN), ("full", FULL)):
+        rows = sentiment.annotate(rows, "headline", scorer, f"{name}_score", name)
+    return _rounded(retrieval.agreement(rows, "words", "plain", "full"))
 
 
 @catalogue.add("strip_html", "select doc_id, length(trim(regexp_replace(text, '<[^>]+>', ' ', 'g'), e' \\t\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x1f' || chr(160) || "
@@ -198,16 +242,28 @@ def q_parse_model_score(spark, folder):
     return clean_news(spark, folder).select("news_id", F.round(sentiment.parse_model_score(F.col("headline")), R).alias("score"))
 
 
-@catalogue.add("normalize_routing", "select kind, count(*) as texts, count(*) filter (where length(text) >= 300) as asked, "
-               "sum(length(coalesce(text, ''))) as chars from documents group by kind")
+@catalogue.add("normalize_routing", f"""with {_SENTENCES},
+n as (select doc_id, kind, d.text, length(d.text) >= 300 as asked,
+  trim(coalesce(nullif(array_to_string(list_filter(string_split(regexp_replace(d.text, '([.!?])[ \\t\\n\\x0b\\x0c\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[0-9]')), ' '), ''), d.text), {ALL_SPACE}) as facts
+  from documents d)
+select kind, count(*) as texts, count(*) filter (where asked) as asked,
+  cast(sum(length(coalesce(case when asked then coalesce(nullif(facts, ''), text) else text end, ''))) as bigint) as chars,
+  cast(coalesce(sum(length(text) + {len(retrieval.PROMPTS["extract"]) - 6}) filter (where asked), 0) as bigint) as prompt_chars from n group by kind""")
 def q_normalize_routing(spark, folder):
-    """Texts of 300 characters or more go to the model (here the stand-in that gives them back), others pass through."""
-    done = retrieval.normalise(table(spark, folder, "documents").select("doc_id", "kind", "text"), "text", retrieval.EchoBackend())
-    same = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    return done.groupBy("kind").agg(F.count(F.lit(1)).alias("texts"), F.count_if("llm_used").alias("asked"), F.sum(same).alias("chars"))
-
-
-@catalogue.add("cosine_hints")
+    """Texts of 300 characters or more are reduced to their sentences with figures, others pass through; by kind."""
+    done = retrieval.normalise(table(spark, folder, "documents").select("doc_id", "kind", "text"), "text", retrieval.FactsBackend())
+    size = lambda c: F.sum(F.coalesce(F.length(c), F.lit(0))).cast("long")
+    return done.groupBy("kind").agg(F.count(F.lit(1)).alias("texts"), F.count_if("llm_used").alias("asked"), size("normalized_text").alias("chars"),
+                                    size("prompt_used").alias("prompt_chars"))
+
+
+@catalogue.add("cosine_hints", """with v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+u as (select vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v),
+s as (select q.vec_id, t.vec_id as term, case when t.label % 2 = 0 then 1.0 else -1.0 end as valence, list_dot_product(q.e, t.e) as similarity
+      from u q join u t on q.vec_id % 20 = 0 and q.vec_id <> t.vec_id),
+near as (select *, row_number() over (partition by vec_id order by round(similarity, 12) desc, term) as rn from s),
+placed as (select *, row_number() over (partition by vec_id, valence > 0 order by round(similarity, 12) desc, term) as place from near where rn <= 24 and similarity >= 0.2)
+select vec_id, term, cast(valence as double) as valence, round(similarity, 6) as similarity, cast(place as int) as place from placed where place <= 4""")
 def q_cosine_hints(spark, folder):
     """Hints for every vector whose id is divisible by 20 from all vectors but itself, signed by their label."""
     e = table(spark, folder, "embeddings")
@@ -226,8 +282,8 @@ def q_cap_per_group(spark, folder):
 
 @catalogue.add("top_tickers_semi", f"with {_NEWS}, top as (select ticker from n group by ticker order by count(*) desc, ticker limit 25) select news_id, ticker from n where ticker in (select ticker from top)")
 def q_top_tickers_semi(spark, folder):
-    news = clean_news(spark, folder)
-    return news.join(F.broadcast(panel.top_keys(news, "ticker", 25)), "ticker", "left_semi").select("news_id", "ticker")
+    news = cut_lineage(clean_news(spark, folder).select("news_id", "ticker"))  # parsed once for the counts and the join
+    return news.join(F.broadcast(panel.top_keys(news, "ticker", 25)), "ticker", "left_semi")
 
 
 @catalogue.add("news_by_year", f"with {_NEWS} select cast(year(day) as bigint) as year, count(*) as n, count(distinct ticker) as tickers from n group by 1")
@@ -255,7 +311,7 @@ def q_summary_scalars(spark, folder):
 
 @catalogue.add("union_batches", f"with {_PRICES}, a as (select ticker from px where year(day) < 2010 union all select ticker from px where year(day) >= 2010) select ticker, count(*) as n from a group by ticker")
 def q_union_batches(spark, folder):
-    px = daily_prices(spark, folder).withColumn("late", F.year("day") >= 2010)
+    px = cut_lineage(daily_prices(spark, folder).select("ticker", (F.year("day") >= 2010).alias("late")))  # parsed once for both batches
     return px.where("not late").unionByName(px.where("late")).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -284,19 +340,25 @@ def q_sentiment_price_join(spark, folder):
 
 _MONTHS = f"""with {_SCORED} {_DAILY}, {_RETURNS},
 j as (select * from ds join lr using (day, ticker)),
-mo as (select ticker, year(day) * 100 + month(day) as ym, avg(sentiment_sum) as sent_sum_mean, avg(sentiment_mean) as sent_mean_avg, sum(n_articles) as n_articles_total,
-       avg(pct_positif) - avg(pct_negatif) as sentiment_balance, sum(log_return) as monthly_return, stddev_samp(log_return) as monthly_vol, count(*) as n_trading_days from j group by 1, 2),
-la as (select *, lag(monthly_return) over w as ret_lag1, lag(monthly_vol) over w as vol_lag1, lead(monthly_return) over w as target_return from mo window w as (partition by ticker order by ym))
-select ticker, cast(ym as bigint) as ym, round(sent_sum_mean, 6) as sent_sum_mean, round(sent_mean_avg, 6) as sent_mean_avg, cast(n_articles_total as bigint) as n_articles_total, round(sentiment_balance, 6) as sentiment_balance,
-round(ret_lag1, 6) as ret_lag1, round(vol_lag1, 6) as vol_lag1, n_trading_days, round(target_return, 6) as target_return, cast(target_return > 0 as bigint) as target_class
-from la where target_return is not null and ret_lag1 is not null and vol_lag1 is not null"""
+mo as (select ticker, cast(year(day) * 100 + month(day) as bigint) as ym, avg(sentiment_sum) as sent_sum_mean, stddev_samp(sentiment_sum) as sent_sum_std, avg(sentiment_mean) as sent_mean_avg,
+       avg(sentiment_std) as sent_std_avg, cast(sum(n_articles) as bigint) as n_articles_total, avg(pct_positif) as pct_pos_avg, avg(pct_negatif) as pct_neg_avg,
+       sum(log_return) as monthly_return, stddev_samp(log_return) as monthly_vol, count(day) as n_trading_days from j group by 1, 2),
+la as (select *, pct_pos_avg - pct_neg_avg as sentiment_balance, lag(sent_sum_mean) over w as sent_lag1, lag(monthly_return) over w as ret_lag1, lag(monthly_return, 2) over w as ret_lag2,
+       lag(monthly_vol) over w as vol_lag1, lead(monthly_return) over w as target_return from mo window w as (partition by ticker order by ym)),
+months as (select *, cast(target_return > 0 as bigint) as target_class from la
+  where target_return is not null and ret_lag1 is not null and ret_lag2 is not null and sent_lag1 is not null and vol_lag1 is not null)"""
+_MONTH_COLUMNS = (*panel.MONTHLY_COLUMNS, "monthly_return", "target_return")
 
 
-@catalogue.add("monthly_features", _MONTHS)
-def q_monthly_features(spark, folder):
+def months(spark: SparkSession, folder: str) -> DataFrame:
     joined = _daily(spark, folder).join(panel.log_returns(daily_prices(spark, folder)), ["day", "ticker"]).withColumn("day", F.unix_date("day").cast("long"))
-    months = panel.monthly_features(joined).withColumns({"ym": F.col("ym").cast("long"), "target_class": F.col("target_class").cast("long")})
-    return _rounded(months.select("ticker", "ym", "sent_sum_mean", "sent_mean_avg", "n_articles_total", "sentiment_balance", "ret_lag1", "vol_lag1", "n_trading_days", "target_return", "target_class"))
+    return panel.monthly_features(joined).withColumns({"ym": F.col("ym").cast("long"), "target_class": F.col("target_class").cast("long")})
+
+
+@catalogue.add("monthly_features", _MONTHS + " select ticker, ym, " + ", ".join(
+    c if c in ("n_articles_total", "n_trading_days") else f"round({c}, 6) as {c}" for c in _MONTH_COLUMNS) + ", target_class from months")
+def q_monthly_features(spark, folder):
+    return _rounded(months(spark, folder).select("ticker", "ym", *_MONTH_COLUMNS, "target_class"))
 
 
 @catalogue.add("lagged_features", f"with {_FEATURES} select ticker, period, lag(mean_score) over w as mean_score, lag(sentiment_balance) over w as sentiment_balance, lag(n_articles) over w as n_articles, lead(ret) over w as target_return from f window w as (partition by ticker order by period)")
@@ -362,28 +424,38 @@ def q_abnormal_returns(spark, folder):
     return feat.abnormal_returns(rows, feat.market_betas(rows)).select("ticker", "period", _r("abnormal_ret"))
 
 
-@catalogue.add("full_feature_set")
+_FULL = _CELLS.replace("\nselect ticker, period, n as", ",\ncells as (select ticker, period, n as", 1) + f"""),
+{_FEATURES}, mk as (select period, avg(mkt_ret) as mkt_ret from f group by period),
+fp as (select f.ticker, f.period, f.ret, mk.mkt_ret from f left join mk using (period)),
+fo as (select ticker, ret as y, mkt_ret as x from fp where ret is not null and mkt_ret is not null),
+fb as (select ticker, case when count(*) >= 24 then regr_intercept(y, x) else 0 end as alpha, case when count(*) >= 24 then regr_slope(y, x) else 1 end as beta from fo group by ticker),
+fa as (select fp.*, ret - (coalesce(alpha, 0) + coalesce(beta, 1) * mkt_ret) as abnormal_ret from fp left join fb using (ticker))
+select cells.*, round(ret, 6) as ret, round(mkt_ret, 6) as mkt_ret, round(abnormal_ret, 6) as abnormal_ret from cells left join fa using (ticker, period)"""
+
+
+@catalogue.add("full_feature_set", _FULL)
 def q_full_feature_set(spark, folder):
     rows = latest_features(spark, folder)
     market = rows.groupBy("period").agg(F.avg("mkt_ret").alias("mkt_ret"))
-    return _rounded(feat.full_features(scored_news(spark, folder).withColumnRenamed("day", "period"), rows, market))
+    found = feat.full_features(scored_news(spark, folder).withColumnRenamed("day", "period"), rows, market).drop("score_skew")
+    return _rounded(found.withColumns({f"n_{x}_articles": F.col(f"n_{x}_articles").cast("long") for x in ("positive", "negative", "neutral")}))
 
 
 # ----------------------------------------------------------------------------------------- portfolios
 
-_TOP = f"with {_UNIVERSE}, t as (select *, row_number() over (partition by period order by score desc, ticker) as place from u qualify place <= 10)"
+_TOP = f"with {_UNIVERSE}, t as (select *, max(score) over (partition by period) as m, row_number() over (partition by period order by score desc, ticker) as place from u qualify place <= 10)"
 _WEIGHTS = {
     "equal": "1.0 / count(*) over w",
     "score": "case when max(score) over w > min(score) over w then (score - min(score) over w) / (sum(score) over w - count(*) over w * min(score) over w) else 1.0 / count(*) over w end",
-    "softmax": "exp(score) / sum(exp(score)) over w",
+    "softmax": "exp(score - m) / sum(exp(score - m)) over w",
     "rank": "(1.0 / place) / sum(1.0 / place) over w",
 }
 
 
 def _weighted(kind: str):
     def run(spark, folder):
-        chosen = pf.choose(universe(spark, folder), "period", "ticker", "score", 10)
-        return chosen.select("period", "ticker", F.col("place").cast("long").alias("place"), F.round(pf.weight(kind, "period"), R).alias("weight"))
+        chosen = pf.build(universe(spark, folder), "period", "ticker", 10, kind)
+        return chosen.select("period", "ticker", F.col("place").cast("long").alias("place"), _r("weight"))
 
     return run
 
@@ -400,13 +472,12 @@ def q_custom_weights(spark, folder):
         raw = 1 / np.sqrt(np.arange(1, len(scores) + 1))
         return raw / raw.sum()
 
-    chosen = pf.choose(universe(spark, folder), "period", "ticker", "score", 10)
-    return pf.custom_weights(chosen, "period", "score", falling).select("period", "ticker", _r("weight"))
+    return pf.build(universe(spark, folder), "period", "ticker", 10, falling).select("period", "ticker", _r("weight"))
 
 
 def _perf(spark, folder):
     rows = universe(spark, folder)
-    chosen = pf.choose(rows, "period", "ticker", "score", 10).withColumn("weight", pf.weight("equal", "period"))
+    chosen = pf.build(rows, "period", "ticker", 10)
     return chosen, pf.performance(chosen, rows, "period", "ret")
 
 
@@ -503,11 +574,26 @@ def q_ols_coefs(spark, folder):
     return rows.sparkSession.createDataFrame(values, "term string, coef double")
 
 
-@catalogue.add("ols_hc3")
+_HC3 = f"""with {_BETAS},
+fa as (select f.*, ret - (coalesce(alpha, 0) + coalesce(beta, 1) * mkt_ret) as y from f left join b using (ticker)),
+c as (select y, mean_score as x1, sentiment_balance as x2 from fa where y is not null and mean_score is not null and sentiment_balance is not null),
+s as (select sum(x1 * x1) as a, sum(x1 * x2) as b, sum(x2 * x2) as d, sum(x1 * y) as p, sum(x2 * y) as q, count(*) as n from c),
+i as (select *, d / (a * d - b * b) as ia, -b / (a * d - b * b) as ib, a / (a * d - b * b) as id from s),
+e as (select *, ia * p + ib * q as b1, ib * p + id * q as b2 from i),
+r as (select c.*, e.*, power((y - b1 * x1 - b2 * x2) / (1 - (ia * x1 * x1 + 2 * ib * x1 * x2 + id * x2 * x2)), 2) as u from c, e),
+m as (select any_value(b1) as b1, any_value(b2) as b2, any_value(ia) as ia, any_value(ib) as ib, any_value(id) as id,
+      sum(u * x1 * x1) as m11, sum(u * x1 * x2) as m12, sum(u * x2 * x2) as m22 from r),
+v as (select b1, b2, sqrt(ia * ia * m11 + 2 * ia * ib * m12 + ib * ib * m22) as s1, sqrt(ib * ib * m11 + 2 * ib * id * m12 + id * id * m22) as s2 from m)
+select 'mean_score' as term, round(b1, 8) as coef, round(s1, 8) as se, round(b1 / s1, 5) as t, round(b1 - 1.96 * s1, 8) as low, round(b1 + 1.96 * s1, 8) as high from v
+union all select 'sentiment_balance', round(b2, 8), round(s2, 8), round(b2 / s2, 5), round(b2 - 1.96 * s2, 8), round(b2 + 1.96 * s2, 8) from v"""
+
+
+@catalogue.add("ols_hc3", _HC3)
 def q_ols_hc3(spark, folder):
     rows = latest_features(spark, folder)
     fit = stats.ols_hc3(feat.abnormal_returns(rows, feat.market_betas(rows)), "abnormal_ret", ["mean_score", "sentiment_balance"])
-    return rows.sparkSession.createDataFrame(list(zip(fit["names"], fit["coef"], fit["se"], fit["t"], fit["p"])), "term string, coef double, se double, t double, p double")
+    made = charts.coefficient_bars(rows.sparkSession, fit)
+    return made.select("term", _r("coef", 8), _r("se", 8), _r("t", 5), _r("low", 8), _r("high", 8))
 
 
 _CLASSES = f"with {_FEATURES}, c as (select cast(ret > 0 as int) as a, cast(mean_score > 0 as int) as p from f where ret is not null and mean_score is not null)"

@@ -14,5 +14,5 @@ catalogue = Catalogue()
 count(*) as n, cast(round(sum(value), 4) as double) as total from events group by all""")
 def stream_event_windows(spark: SparkSession, folder: str) -> DataFrame:
     stream = stream_table(spark, folder, "events")
-    out = run_available(windowed(stream, "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1)), "total": F.sum("value")}, "40 days"))
+    out = run_available(windowed(stream, "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1)), "total": F.sum("value")}, "40 days"), ["from", "until", "event_type"])
     return out.withColumn("total", F.round("total", 4))

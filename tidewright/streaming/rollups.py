@@ -27,11 +27,20 @@ def windowed(stream: DataFrame, at: str, size: str, keys: list[str], totals: dic
     return grouped.select(bound("start").alias("from"), bound("end").alias("until"), *keys, *totals)
 
 
-def run_available(rollup: DataFrame) -> DataFrame:
-    """Run over all files that are there, then give the last state of the rollup."""
+def run_available(rollup: DataFrame, keys: list[str]) -> DataFrame:
+    """Run over all files that are there, then give the last state of each row of the rollup, told by its keys.
+
+    Each micro-batch adds only the rows it changed; the state of windows older than the watermark is dropped, and their
+    rows stay as they were written last.
+    """
     spark = rollup.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    query = (rollup.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-             .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start())
+    write = lambda df, n: df.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rollup.dtypes) + ", _batch bigint"
+    spark.createDataFrame([], schema).write.parquet(f"{base}/out/none")  # a stream without a row has a result too
+    query = (rollup.writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    rest = [c for c in rollup.columns if c not in keys]
+    changed = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
+    last = changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
