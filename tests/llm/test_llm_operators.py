@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tidewright.llm")
 
-from tidewright.llm import tokens as T  # noqa: E402
+from tidewright.llm import nearest_time as N, tokens as T  # noqa: E402
 from tidewright.llm.mixing import mixed, reached_shares  # noqa: E402
 from tidewright.llm.nearest_time import nearest_in_time  # noqa: E402
 from tidewright.llm.tokens import compile_lexicon, look_up, merge, read_ranks, token_counts, token_ids  # noqa: E402
@@ -33,18 +33,23 @@ def nearest(left, right, tolerance):
     return out
 
 
-@pytest.mark.parametrize("count", [1, 3, 40])
-def test_nearest_over_partition_edges(spark, count):
-    """One entity far larger than a task, a crowded moment, and stretches of partitions without any right row."""
+@pytest.mark.parametrize("count, held, batch", [(1, 50, 10), (3, 10**6, 10_000), (3, 5, 3), (40, 0, 7)])
+def test_nearest_over_partition_edges(spark, monkeypatch, count, held, batch):
+    """One entity far larger than a task, a crowded moment, and stretches of batches and partitions without any right row."""
+    monkeypatch.setattr(N, "HELD", held)
     rng = random.Random(count)
     left = [(i, "hot" if i % 3 else rng.choice("abc"), rng.randrange(400)) for i in range(700)] + [(2000 + i, "hot", 77) for i in range(200)]
     right = [(i, "hot" if i % 2 else rng.choice("abc"), rng.choice([rng.randrange(40), 300 + rng.randrange(100)])) for i in range(60)]
     left += [(5000, None, 3), (5001, "a", None), left[0]]
     right += [(900, None, 3), (901, "a", None), right[0]]
+    left += left[:300]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     for tolerance in (0, 3, 1000):
         got = nearest_in_time(spark.createDataFrame(left, ROW).repartition(3), spark.createDataFrame(right, ROW), **{**NEAR, "tolerance": tolerance}, count=count)
         rows = [(r[0], (r[1], r.gap)) for r in got.toDF("left", "right", "gap").collect()]
         assert len(rows) == len(dict(rows)) and dict(rows) == nearest(left, right, tolerance)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_nearest_empty_sides_and_ties(spark):
