@@ -117,18 +117,33 @@ def test_transducer_is_minimal_and_exact():
     rng = random.Random(0)
     words = {bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 7))): [rng.randrange(99)] * rng.randrange(1, 3) for _ in range(90)}
     lexicon = compile_lexicon(words)
-    for w, ids in words.items():
-        assert look_up(lexicon, w) == ids
-    for _ in range(500):
-        w = bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 8)))
-        assert look_up(lexicon, w) == words.get(w)
+
+    def found(lexicon, asked):
+        ends = np.cumsum([0, *map(len, asked)])
+        places = look_up(lexicon, np.frombuffer(b"".join(asked), np.uint8), ends[:-1], ends[1:])
+        return [lexicon["ids"][lexicon["start"][p]:lexicon["start"][p + 1]].tolist() if p >= 0 else None for p in places]
+
+    assert found(lexicon, list(words)) == list(words.values())
+    others = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 8))) for _ in range(500)]
+    assert found(lexicon, others) == [words.get(w) for w in others]
     # minimal: no two states accept the same set of endings
-    first, label, target, final = (lexicon[k].tolist() for k in ("first", "label", "target", "final"))
+    edges, final = list(zip(lexicon["edge"].tolist(), lexicon["target"].tolist())), lexicon["final"].tolist()
     language = []
     for s in range(len(final)):
-        language.append(frozenset(({b""} if final[s] else set()) | {bytes([label[i]]) + e for i in range(first[s], first[s + 1]) for e in language[target[i]]}))
+        language.append(frozenset(({b""} if final[s] else set()) | {bytes([e % 256]) + rest for e, t in edges if e // 256 == s for rest in language[t]}))
     assert len(set(language)) == len(language)
-    assert look_up(compile_lexicon({}), b"a") is None
+    assert found(compile_lexicon({}), [b"a", b""]) == [None, None]
+
+
+def test_words_are_cut_where_the_tokenizer_cuts(spark):
+    """Runs and kinds of whitespace at every place, with and without a lexicon that holds the words."""
+    rng, enc = random.Random(3), reference()
+    parts = ["a", "the", "'s", "x's", "12", "3a", ",", "...", "é", "京", " ", "  ", "   ", "\n", " \n", "\n ", "\t", "\u3000", "\xa0", "\x85", "\x1c", "\x1f ", "\u200b", "\r\n", ""]
+    docs = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 9)))) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for words in (0, 500):
+        got = {r.doc_id: r.ids for r in token_ids(df, "doc_id", "text", words).collect()}
+        assert [(i, got[i]) for i, t in docs] == [(i, enc.encode_ordinary(t)) for i, t in docs]
 
 
 def test_merge_of_long_words():
