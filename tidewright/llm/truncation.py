@@ -14,8 +14,8 @@ Two kinds of evidence are put together by Bayes' rule.
 Away from limits the prior is each source's share of stray cuts, found by averaging the posteriors once.
 
 Scale: copies of a text are put together by one shuffle of its hash, lengths and ending; histograms combine before
-their shuffle to one row for each source, kind and length; a fit sees one
-source's histogram, bounded by its distinct lengths; limits and priors, a row for each source and kind, are
+their shuffle to one row for each source, kind, measure and length; a fit sees one
+source's histogram of one measure, bounded by its distinct lengths; limits and priors, a row for each source and kind, are
 broadcast.  Everything else is a projection of the documents; the whole text counts for its length, the
 last characters for its ending.
 """
@@ -26,8 +26,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -38,9 +39,10 @@ from tidewright.runtime import cut_lineage, partitions, require_columns
 SAMPLE, CUTS = 20_000, 2
 #: Characters of the ending that are looked at.
 ENDING = 160
-FEATURES = 1 << 16
-#: Weights of the penalty in the two rounds of the fit.
-SMOOTHING = (2e-4, 5e-6)
+#: Examples that a feature must occur in to count, and features that count at most.
+RARE, FEATURES = 2, 1 << 17
+#: Weight of the penalty and iterations in the two rounds of the fit; the first only finds whole texts that look cut.
+ROUNDS = ((2e-4, 40), (5e-6, 60))
 #: Width of the band in which cuts at a word's end fall.
 BAND = 14
 #: Marks that publishers and broken transfers leave behind a cut (fixed values).
@@ -70,26 +72,30 @@ def _ending(text: Column) -> Column:
     return F.regexp_replace(F.right(_unmarked(text), F.lit(ENDING)), r"\d", "0")
 
 
-def _features(ending: Column, kind: Column, alone: Column) -> Column:
-    """Names of what is seen of an ending; ``alone`` tells that the text has no line and no full stop before."""
-    line = F.regexp_extract(ending, r"[^\n]*$", 0)
+def _with_features(df: DataFrame) -> DataFrame:
+    """Adds ``_names``, the names of what is seen of an ending: its last characters and words, its shape, its last sentence.
+
+    ``alone`` tells that the text has no line and no full stop before.  Steps that serve several features are columns of
+    their own, so each is made once, and none looks at a character more often than a few times.
+    """
+    ending, stops = F.col("ending"), ".!?。！？…\n"
+    line = F.substring_index(ending, "\n", -1)
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), "[ \t]+", " ")
-    open_ = F.length(F.regexp_extract(ending, r"[^.!?。！？…\n]*$", 0))
-    words = F.split(ending, r"[\s]+")
-    back = lambda n: F.array_join(F.slice(words, F.greatest(F.size(words) - (n - 1), F.lit(1)), n), " ")
-    of_kind = F.concat(F.coalesce(kind, F.lit("")), F.when(alone, F.lit("1")).otherwise(F.lit("n")))
-    named = lambda name, c: F.concat(F.lit(name + ":"), c.cast("string"))
-    stop = F.when(F.length(ending) == 0, "empty").when(ending.rlike(_TERMINATOR), "stop").otherwise("open")
-    return F.concat(
-        F.transform(F.sequence(F.lit(1), F.lit(12)), lambda n: F.concat(F.lit("s"), n.cast("string"), F.lit(":"), F.right(ending, n))),
-        F.array(*[named(f"w{n}", back(n)) for n in (1, 2, 3)], named("l3", F.right(shape, F.lit(3))),
-                named("l6", F.right(shape, F.lit(6))), named("shape", F.substring(shape, 1, 24)),
-                named("stop", stop),
-                named("z", F.regexp_replace(F.regexp_extract(ending, r"0*[^\w\s]*$", 0), "0{4,}", "0+")), named("k", F.concat(of_kind, stop)),
-                named("kw", F.concat(of_kind, F.lit(":"), back(1))), named("ks", F.concat(of_kind, F.right(shape, F.lit(2)))),
-                named("kw2", F.concat(of_kind, F.lit(":"), back(2))),
-                named("o", F.floor(F.log2(open_ + 1))), named("ko", F.concat(of_kind, F.floor(F.log2(open_ + 1)).cast("string")))),
-    )
+    alone = F.when(F.col("alone"), "1").otherwise("n")
+    df = df.withColumns({
+        "_shape": shape, "_words": F.reverse(F.split(ending, r"[\s]+")),
+        "_open": F.floor(F.log2(F.length(F.substring_index(F.translate(ending, stops, "." * len(stops)), ".", -1)) + 1)).cast("string"),
+        "_stop": F.when(F.length(ending) == 0, "empty").when(ending.rlike(_TERMINATOR), "stop").otherwise("open"),
+        "_of": F.concat(F.coalesce("_kind", F.lit("")), alone)})
+    back = lambda n: F.array_join(F.reverse(F.slice("_words", 1, n)), " ")
+    marks = F.regexp_replace(F.regexp_extract(F.right(ending, F.lit(40)), r"0*[^\w\s]*$", 0), "0{4,}", "0+")
+    df = df.withColumns({f"_back{n}": back(n) for n in (1, 2, 3)})
+    named = {f"s{n}": F.right(ending, F.lit(n)) for n in range(1, 13)} | {f"w{n}": F.col(f"_back{n}") for n in (1, 2, 3)} | {
+        "l3": F.right("_shape", F.lit(3)), "l6": F.right("_shape", F.lit(6)), "shape": F.substring("_shape", 1, 24), "stop": F.col("_stop"), "z": marks,
+        "k": F.concat("_of", "_stop"), "kw": F.concat("_of", F.lit(":"), "_back1"), "ks": F.concat("_of", F.right("_shape", F.lit(2))),
+        "kw2": F.concat("_of", F.lit(":"), "_back2"), "o": F.col("_open"), "ko": F.concat("_of", "_open")}
+    kept = [c for c in df.columns if c not in ("_shape", "_words", "_open", "_stop", "_of", "_back1", "_back2", "_back3")]
+    return df.select(*kept, F.array(*[F.concat(F.lit(f"{n}:"), c) for n, c in named.items()]).alias("_names"))
 
 
 def _alone(text: Column) -> Column:
@@ -104,14 +110,15 @@ def _log_normal(lengths: np.ndarray, counts: np.ndarray, censored: np.ndarray) -
     dev = max(0.05, math.sqrt(((x - mean) ** 2 * counts).sum() / total))
     if not censored.any():
         return mean, dev
+    seen, seen2 = (x * counts)[~censored].sum(), (x**2 * counts)[~censored].sum()
+    x, counts = x[censored], counts[censored]  # at most the lengths of a few limits
     for _ in range(60):
         z = (x - mean) / dev
         tail = np.array([max(0.5 * math.erfc(v / math.sqrt(2)), 1e-12) for v in z])
         hazard = np.exp(-0.5 * z**2) / math.sqrt(2 * math.pi) / tail
-        ex = np.where(censored, mean + dev * hazard, x)
-        ex2 = np.where(censored, mean**2 + dev**2 + dev * (x + mean) * hazard, x**2)
-        mean = (ex * counts).sum() / total
-        dev = max(0.05, math.sqrt(max((ex2 * counts).sum() / total - mean**2, 0)))
+        ex, ex2 = mean + dev * hazard, mean**2 + dev**2 + dev * (x + mean) * hazard
+        mean = (seen + (ex * counts).sum()) / total
+        dev = max(0.05, math.sqrt(max((seen2 + (ex2 * counts).sum()) / total - mean**2, 0)))
     return mean, dev
 
 
@@ -120,66 +127,62 @@ def _expected(lengths: np.ndarray, n: float, mean: float, dev: float) -> np.ndar
     return n * np.exp(-0.5 * ((np.log(x) - mean) / dev) ** 2) / (dev * math.sqrt(2 * math.pi) * x)
 
 
-def _limits(h: pd.DataFrame) -> pd.DataFrame:
-    """Limits of one source from its histogram (source, kind, measure, length, n, endings, open).
+def _near(values: np.ndarray, held: np.ndarray, shifts: range) -> np.ndarray:
+    """For each sorted value and each shift what is held at value + shift, 0 where nothing is."""
+    wanted = values[:, None] + np.array(shifts)
+    spot = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return np.where(values[spot] == wanted, held[spot], held.dtype.type(0))
 
-    A limit's excess must for the most part end without a full stop (``open``).  ``endings`` has a bit for each of 64 classes of endings that occur: texts of one pattern share a length
-    without any limit, but then they end alike; this holds for spikes and bands.
+
+def _limits(h: pd.DataFrame) -> pd.DataFrame:
+    """Limits of one source in one measure from its histogram (source, kind, measure, length, n, endings, open).
+
+    A length is a limit when ``5 + 3 m`` texts or more have it, m being the larger of what the fits and what its
+    neighbours expect; a band when ``8 + 3 m`` have a length in it.  Were counts Poisson with mean m, a length would reach
+    that by chance with a probability below 1.2e-5, a band below 1e-7, whatever m is.  A limit's excess must for the most
+    part end without a full stop (``open``).  ``endings`` has a bit for each of 64 classes of endings that occur: texts of
+    one pattern share a length without any limit, but then they end alike, so half the classes must occur that so many
+    texts of different endings would show.  This holds for spikes and bands.
     """
-    classes = lambda bits: bin(int(np.bitwise_or.reduce(bits)) & (1 << 64) - 1).count("1")
     enough = lambda n: 0.5 * 64 * (1 - np.exp(-n / 64))
-    out = []
-    for measure, m in h.groupby("measure"):
-        m = m[m["length"] > 0]
-        if not len(m):
-            continue
-        found: dict[tuple[int, int], float] = {}
-        for _ in range(3):
-            inside = lambda v: np.any([(v >= a) & (v <= b) for a, b in found], axis=0) if found else np.zeros(len(v), bool)
-            fits = {k: _log_normal(g["length"].to_numpy(float), g["n"].to_numpy(float), inside(g["length"].to_numpy()))
-                    for k, g in m.groupby("kind")}
-            per_kind = {k: int(g["n"].sum()) for k, g in m.groupby("kind")}
-            by = m.groupby("length")["n"].sum()
-            bits = m.groupby("length")["endings"].agg(lambda x: np.bitwise_or.reduce(x.to_numpy())).to_numpy(np.int64)
-            values = by.index.to_numpy()
-            opened = m.groupby("length")["open"].sum().to_numpy(float)
-            fit = sum(_expected(values.astype(float), per_kind[k], *fits[k]) for k in fits)
-            counts = by.to_numpy(float)
-            known = dict(zip(values.tolist(), counts.tolist()))
-            again: dict[tuple[int, int], float] = {}
-            for v, n, e, ends, without_stop in zip(values.tolist(), counts, fit, bits, opened):
-                around = [known.get(v + d, 0.0) for d in range(-8, 9) if d]
-                local = max(e, sum(sorted(around)[:-2]) / (len(around) - 2))
-                if n >= 5 + 3 * local and without_stop >= 0.5 * (n - local) and classes([ends]) >= enough(n):
-                    again[v, v] = (n - local) / n
-            spiked = np.array([(int(v), int(v)) in again for v in values.tolist()])
-            band_open = np.array([(opened * ~spiked)[np.searchsorted(values, v - BAND, "right"):i + 1].sum() for i, v in enumerate(values.tolist())])
-            band_n = np.array([counts[np.searchsorted(values, v - BAND, "right"):i + 1].sum() for i, v in enumerate(values.tolist())])
-            spikes = np.array([sum(known.get(a, 0.0) for a, b in again if a == b and v - BAND < a <= v) for v in values.tolist()])
-            unspiked = np.where(spiked, 0, bits)
-            band_ends = np.array([classes(unspiked[np.searchsorted(values, v - BAND, "right"):i + 1]) for i, v in enumerate(values.tolist())])
-            band_e = np.array([fit[np.searchsorted(values, v - BAND, "right"):i + 1].sum()
-                               for i, v in enumerate(values.tolist())])
-            band_e = np.maximum(band_e, BAND * fit)
-            after = np.array([counts[i + 1:np.searchsorted(values, v + BAND, "right")].sum() for i, v in enumerate(values.tolist())])
-            rest = band_n - spikes
-            ok = ((rest >= 8 + 3 * band_e) & (rest >= 3 * after) & (band_open >= 0.5 * (rest - band_e)) & (band_ends >= enough(rest))
-                  & (measure != "bytes"))
-            while ok.any():
-                i = int(np.argmax(np.where(ok, rest - band_e, -1)))
-                v = int(values[i])
-                again[v - BAND + 1, v] = float((rest[i] - band_e[i]) / rest[i])
-                ok &= np.abs(values - v) >= 2 * BAND
-            if again.keys() == found.keys():
-                break
-            found = again
-        for (a, b), share in found.items():
-            for k, g in m.groupby("kind"):
-                n = g.loc[(g["length"] >= a) & (g["length"] <= b), "n"].sum()
-                e = _expected(np.arange(a, b + 1, dtype=float), per_kind[k], *fits[k]).sum()
-                if n:
-                    own = (n - e) / n if n >= 5 else share
-                    out.append((h["source"].iloc[0], k, measure, a, b, float(min(0.95, max(0.02, own)))))
+    measure, m = h["measure"].iloc[0], h[h["length"] > 0]
+    out, found = [], {}
+    by = m.groupby("length").agg(n=("n", "sum"), open=("open", "sum"))
+    values, counts, opened = by.index.to_numpy(np.int64), by["n"].to_numpy(float), by["open"].to_numpy(float)
+    bits, place = np.zeros(len(values), np.uint64), np.searchsorted(values, m["length"].to_numpy())
+    np.bitwise_or.at(bits, place, m["endings"].to_numpy(np.int64).view(np.uint64))
+    kinds = [(k, g["length"].to_numpy(np.int64), g["n"].to_numpy(float)) for k, g in m.groupby("kind")]
+    low, high = np.searchsorted(values, values - BAND, "right"), np.searchsorted(values, values + BAND, "right")
+    upto = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+    band = lambda x: upto(x)[1:] - upto(x)[low]
+    for _ in range(3 if len(values) else 0):
+        inside = lambda v: np.any([(v >= a) & (v <= b) for a, b in found], axis=0) if found else np.zeros(len(v), bool)
+        fits = {k: _log_normal(v.astype(float), n, inside(v)) for k, v, n in kinds}
+        fit = sum(_expected(values.astype(float), n.sum(), *fits[k]) for k, _, n in kinds)
+        around = np.sort(_near(values, counts, [d for d in range(-8, 9) if d]), axis=1)[:, :-2].mean(axis=1)
+        local = np.maximum(fit, around)
+        spiked = (counts >= 5 + 3 * local) & (opened >= 0.5 * (counts - local)) & (np.bitwise_count(bits) >= enough(counts))
+        again = {(v, v): x for v, x in zip(values[spiked].tolist(), ((counts - local) / counts)[spiked].tolist())}
+        rest = band(np.where(spiked, 0, counts))
+        expected = np.maximum(band(fit), BAND * fit)
+        after = upto(counts)[high] - upto(counts)[1:]
+        endings = np.bitwise_or.reduce(_near(values, np.where(spiked, np.uint64(0), bits), range(1 - BAND, 1)), axis=1)
+        ok = ((rest >= 8 + 3 * expected) & (rest >= 3 * after) & (band(np.where(spiked, 0, opened)) >= 0.5 * (rest - expected))
+              & (np.bitwise_count(endings) >= enough(rest)) & (measure != "bytes"))
+        while ok.any():
+            i = int(np.argmax(np.where(ok, rest - expected, -1)))
+            again[int(values[i]) - BAND + 1, int(values[i])] = float((rest[i] - expected[i]) / rest[i])
+            ok &= np.abs(values - values[i]) >= 2 * BAND
+        if again.keys() == found.keys():
+            break
+        found = again
+    for (a, b), share in found.items():
+        for k, v, n in kinds:
+            met = n[(v >= a) & (v <= b)].sum()
+            if met:
+                e = _expected(np.arange(a, b + 1, dtype=float), n.sum(), *fits[k]).sum()
+                own = (met - e) / met if met >= 5 else share
+                out.append((h["source"].iloc[0], k, measure, a, b, float(min(0.95, max(0.02, own)))))
     return pd.DataFrame(out, columns=["source", "kind", "measure", "low", "high", "posterior"])
 
 
@@ -208,7 +211,7 @@ def length_limits(prepared: DataFrame) -> DataFrame:
                                  (~F.col("ending").rlike(_TERMINATOR)).alias("open"), F.explode(lengths).alias("x"))
                  .select("source", "kind", "bit", "open", "x.*").where("length is not null")
                  .groupBy("source", "kind", "measure", "length").agg(F.count(F.lit(1)).alias("n"), F.bit_or("bit").alias("endings"), F.count_if("open").alias("open")))
-    return histogram.groupBy("source").applyInPandas(
+    return histogram.groupBy("source", "measure").applyInPandas(
         _limits, "source string, kind string, measure string, low bigint, high bigint, posterior double")
 
 
@@ -235,23 +238,24 @@ def _examples(documents: DataFrame, seen: DataFrame, rows: int) -> DataFrame:
     ones = pieces.where(~natural).select("_kind", F.lit(1.0).alias("label"), _ending(F.col("_piece")).alias("ending"), _alone(F.col("_piece")).alias("alone"))
     zeros = sampled(seen).where((F.coalesce("_at", F.lit(0.0)) < 0.5) | F.col("ending").rlike(_TERMINATOR)).select(
         "_kind", F.lit(0.0).alias("label"), "ending", "alone")
-    return ones.unionByName(zeros).select("label", _features(F.col("ending"), F.col("_kind"), F.col("alone")).alias("_names"))
+    return _with_features(ones.unionByName(zeros)).select("label", "_names")
 
 
-def _fit(examples: DataFrame) -> tuple[LogisticRegressionModel | None, float]:
+def _fit(examples: DataFrame) -> tuple[PipelineModel | None, float]:
     """Two rounds, the second less smooth and without whole texts that the first holds for cut; also the log odds of label 1."""
-    width = partitions(examples.sparkSession)
-    rows = cut_lineage(HashingTF(numFeatures=FEATURES, binary=True, inputCol="_names", outputCol="features").transform(examples).select("label", "features").coalesce(width))
+    examples = cut_lineage(examples.coalesce(partitions(examples.sparkSession)))
+    named = CountVectorizer(inputCol="_names", outputCol="features", minDF=RARE, vocabSize=FEATURES, binary=True).fit(examples)
+    rows = cut_lineage(named.transform(examples).select("label", "features"))
     model, odds = None, 0.0
-    for smoothing in SMOOTHING:
+    for smoothing, most in ROUNDS:
         if model is not None:
             rows = model.transform(rows).where("label = 1 or prediction = 0").select("label", "features")
         n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
         if not 0 < ones < n:
             return None, 0.0
         odds = math.log(ones / (n - ones))
-        model = LogisticRegression(maxIter=80, regParam=smoothing, elasticNetParam=0.0, standardization=False).fit(rows)
-    return model, odds
+        model = LogisticRegression(maxIter=most, regParam=smoothing, elasticNetParam=0.0, standardization=False).fit(rows)
+    return PipelineModel([named, model]), odds
 
 
 def truncation_scores(documents: DataFrame, *, row_id: str, text: str, source: str, kind: str | None = None) -> DataFrame:
@@ -271,12 +275,11 @@ def truncation_scores(documents: DataFrame, *, row_id: str, text: str, source: s
     prepared = _prepared(rows)
     seen = _with_censoring(prepared, cut_lineage(length_limits(prepared)))
     model, odds = _fit(_examples(rows, seen, documents.count()))
-    seen = seen.select("_id", "_source", "_at", _features(F.col("ending"), F.col("_kind"), F.col("alone")).alias("_names"))
+    seen = _with_features(seen.select("_id", "_source", "_kind", "_at", "ending", "alone")).select("_id", "_source", "_at", "_names")
     if model is None:
         scored = seen.select("_id", "_source", "_at", F.lit(0.0).alias("ending"))
     else:
-        hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_names", outputCol="features").transform(seen)
-        scored = model.transform(hashed).select("_id", "_source", "_at", (vector_to_array("rawPrediction")[1] - odds).alias("ending"))
+        scored = model.transform(seen).select("_id", "_source", "_at", (vector_to_array("rawPrediction")[1] - odds).alias("ending"))
     scored = cut_lineage(scored)
 
     def posterior(prior: Column) -> Column:
