@@ -177,6 +177,19 @@ def test_mix_reaches_shares_and_keeps_caps(spark):
     assert keys == sorted(keys) and [r.doc_id for r in mix] == [r.doc_id for r in mixed(df, targets, **MIX).collect()]
 
 
+def test_shares_are_those_of_the_mix_and_a_seed_is_kept(spark):
+    docs = [(i, "word " * (1 + i % 9), ("big", "mid", "small")[i % 3]) for i in range(900)]
+    targets = spark.createDataFrame([("big", 0.5, 2), ("mid", 0.3, 3), ("small", 0.2, 5)], "source string, target_share double, max_repeats int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    told = {r.source: (r.copies, r.mix_tokens, r.most_copies) for r in reached_shares(df, targets, **MIX).collect()}
+    mix = mixed(df.repartition(7), targets, **MIX)
+    counted = token_counts(mix.select("doc_id", "source", "copy_no", "text"), ["source", "copy_no"], "text").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"), F.max("copy_no").alias("m"))
+    assert {r.source: (r.n, r.t, r.m) for r in counted.collect()} == told
+    pairs = lambda m: {(r.doc_id, r.copy_no) for r in m.select("doc_id", "copy_no").collect()}
+    assert pairs(mix) == pairs(mixed(df, targets, **MIX)) != pairs(mixed(df, targets, **{**MIX, "seed": 4}))
+
+
 def test_mix_of_empty_tables(spark):
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     docs = spark.createDataFrame([(1, "x y", "a")], "doc_id long, text string, source string")
