@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewright.functions import wordlists as W
 from tidewright.functions.safe import log_return, pct_change, share, sum0
 from tidewright.operators.quantiles import exact_quantiles
-from tidewright.runtime import require_columns
+from tidewright.runtime import cut_lineage, require_columns
 
 #: Columns of the monthly panel, in order (fixed values).
 MONTHLY_COLUMNS = ("sent_sum_mean", "sent_sum_std", "sent_mean_avg", "sent_std_avg", "n_articles_total", "pct_pos_avg",
@@ -164,6 +164,6 @@ def prepare_splits(panel: DataFrame, features: Sequence[str] = MONTHLY_COLUMNS,
     again = tuple(f"robust_{c}" for c in features)
     rows = panel.withColumn("split", split_name(F.col(period), train_to, validate_to)).withColumns({r: F.col(c) for r, c in zip(again, features)})
     train = F.col("split") == "train"
-    scaled = standardised(robust_scaled(rows, again, train), features, train)
+    scaled = cut_lineage(standardised(robust_scaled(rows, again, train), features, train))  # written once, as models read their parts many times
     frame = rows.where("split = 'test'").select(F.col(ticker).alias("ticker"), F.col(period).alias("period"), F.col(target).alias("fwd_log_ret"))
     return Splits(tuple(features), again, scaled, scaled.where((F.col(labelled) == 1) & (F.col("split") != "test")), frame)
