@@ -34,3 +34,13 @@ def test_records_prices_batches_and_tables(spark, tmp_path):
     news.write_table(long, str(tmp_path / "p"), ["day"])
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
     assert news.sample_rows(spark.range(100), "id", 5).collect() == news.sample_rows(spark.range(100).orderBy(F.desc("id")), "id", 5).collect()
+
+
+def test_price_files_long_and_wide(spark, tmp_path):
+    (tmp_path / "w1.csv").write_text("Date, aa ,BB\n2020-01-02,1.5,\n2020-01-03 00:00:00,3.0,x\nbad,1,2\n")
+    (tmp_path / "l.csv").write_text("Date,ticker,close_price\n2020-01-02, aa,2\n2020-01-03,,2\n2020-01-04,AA,NaN\n2020-01-06,aa,4\n")
+    wide, long = (news.read_prices(spark, str(tmp_path / f)) for f in ("w1.csv", "l.csv"))
+    assert sorted((str(r.date_only), r.ticker, r.close_price) for r in wide.collect()) == [("2020-01-02", "AA", 1.5), ("2020-01-03", "AA", 3.0)]
+    assert sorted((str(r.date_only), r.ticker, r.close_price) for r in long.collect()) == [("2020-01-02", "AA", 2.0), ("2020-01-06", "AA", 4.0)]
+    assert [(str(r.date_only), round(r.mkt_ret, 6)) for r in news.market_returns(long, "aa").collect()] == [("2020-01-06", 0.693147)]
+    assert news.market_returns(long.limit(0), "aa").count() == 0

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, types as T, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T, functions as F
 
+from tidewright.functions.safe import finite
 from tidewright.functions.text import clean_ticker, strip, strip_html
 from tidewright.runtime import require_columns
 
@@ -56,6 +57,29 @@ def unpivot_prices(wide: DataFrame, day: str, tickers: Sequence[str]) -> DataFra
     return long.withColumn("ticker", F.upper(strip(F.col("ticker")))).where("close_price is not null")
 
 
+def read_prices(spark: SparkSession, path: str, day: str = "Date") -> DataFrame:
+    """(date_only, ticker, close_price) of price files, long with the columns ticker and close_price or wide with a column a ticker.
+
+    ``path`` may name a folder or a pattern, so batches need no union.  Rows without a readable day, ticker or number are left out.
+    """
+    raw = spark.read.csv(path, header=True)
+    require_columns(raw, day)
+    dated = raw.withColumn("_day", F.try_to_date(F.substring(day, 1, 10), "yyyy-MM-dd"))
+    if {"ticker", "close_price"} <= set(raw.columns):
+        long = dated.select("_day", "ticker", "close_price")
+    else:
+        long = dated.unpivot(["_day"], [c for c in raw.columns if c != day], "ticker", "close_price")
+    rows = long.select(F.col("_day").alias("date_only"), clean_ticker(F.col("ticker")).alias("ticker"), finite(F.col("close_price").try_cast("double")).alias("close_price"))
+    return _whole(rows, "date_only", "ticker", "close_price")
+
+
+def market_returns(prices: DataFrame, ticker: str, day: str = "date_only") -> DataFrame:
+    """(day, mkt_ret): the log returns of one index's closes, without its first day.  Days are one series, one row each."""
+    index = prices.where(F.col("ticker") == ticker.strip().upper()).groupBy(day).agg(F.max("close_price").alias("_p"))
+    before = F.lag("_p").over(Window.orderBy(day))
+    return index.withColumn("_b", before).where("_b > 0 and _p > 0").select(day, F.ln(F.col("_p") / F.col("_b")).alias("mkt_ret"))
+
+
 def union_batches(batches: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
 
