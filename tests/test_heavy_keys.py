@@ -51,5 +51,7 @@ def test_the_default_share_follows_the_partitions(spark):
         assert heavy_keys(rows, "k").count() == 0
         spark.conf.set("spark.sql.shuffle.partitions", 16)
         assert [(r.k, r.n) for r in heavy_keys(rows, "k").collect()] == [("x", 200)]
+        spark.conf.set("spark.sql.shuffle.partitions", 5_000_000)
+        assert heavy_keys(rows, "k").schema.names == ["k", "n"]  # a plan is made for any number of partitions
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

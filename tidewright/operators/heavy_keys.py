@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewright.runtime import partitions, require_columns
 
@@ -21,6 +21,11 @@ from tidewright.runtime import partitions, require_columns
 ROOM, LEAST_ITEMS, MOST_ITEMS = 16, 8192, 1 << 20
 
 
+def fair_share(spark: SparkSession) -> float:
+    """Half of a partition's part of the rows; no less than the largest sketch can tell (that of 65,536 partitions)."""
+    return max(0.5 / partitions(spark), 8 / MOST_ITEMS)
+
+
 def frequent(df: DataFrame, key: str, share: float) -> DataFrame:
     """Keys that hold at least about ``share`` of the rows whose key isn't null: (key, n, part of the rows).
 
@@ -43,7 +48,7 @@ def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame
     ``1 / share`` rows.  Null keys don't count; an empty table has no heavy key.
     """
     require_columns(df, key)
-    return frequent(df, key, share or 0.5 / partitions(df.sparkSession)).drop("part")
+    return frequent(df, key, share or fair_share(df.sparkSession)).drop("part")
 
 
 def _only(df: DataFrame, column: str, kept: Column) -> DataFrame:

@@ -21,8 +21,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewright.operators.heavy_keys import frequent
-from tidewright.runtime import partitions, require_columns
+from tidewright.operators.heavy_keys import fair_share, frequent
+from tidewright.runtime import require_columns
 
 #: Ticks of events span less than two to this power.
 DEEPEST = 60
@@ -90,7 +90,7 @@ def match_as_of(
     """
     require_columns(events, key, event_id, event_tick)
     require_columns(attributes, key, start_tick, *([end_tick] if end_tick else []), *precedence, *values)
-    share = share or 0.5 / partitions(events.sparkSession)
+    share = share or fair_share(events.sparkSession)
     points = events.select(
         F.col(event_id).alias("_id"), F.col(key).alias("_key"), F.col(event_tick).cast("long").alias("_tick")
     ).where("_id is not null and _key is not null and _tick is not null")
