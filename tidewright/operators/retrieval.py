@@ -15,13 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewright.operators.sentiment import Scorer, annotate, annotate_articles, explain_scores, label, parse_reasoning
-from tidewright.runtime import cut_lineage, require_columns
+from tidewright.runtime import cut_lineage, require_columns, with_known
 
 
 def unit(v: Column) -> Column:
-    """The vector at length 1; null for a zero vector."""
+    """The vector at length 1; null for a zero vector.  The norm stands beside the elements: within the function of an
+    element it would be summed up anew for each of them."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    return F.when(norm > 0, F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x.cast("double") / n))
 
 
 #: Queries that are shipped to the terms at a time, and terms that are multiplied with them at a time.
@@ -81,13 +82,13 @@ def nearest_terms(queries: DataFrame, terms: DataFrame, *, query_id: str, term:
     require_columns(terms, term, embedding, valence)
     spark = queries.sparkSession
     id_type, term_type = dict(queries.dtypes)[query_id], dict(terms.dtypes)[term]
-    vectors = terms.where(F.col(valence) != 0).select(F.col(term).alias("t"), F.col(valence).cast("double").alias("v"),
-                                                      unit(F.col(embedding)).alias("e")).where("e is not null")
+    vectors = with_known(terms.where(F.col(valence) != 0).select(F.col(term).alias("t"), F.col(valence).cast("double").alias("v"),
+                                                                 unit(F.col(embedding)).alias("e")), "e")
     vocabulary = cut_lineage(vectors.sortWithinPartitions("t"))
     ordered = (F.desc("_rank"), F.asc("_t"))
     near = F.row_number().over(Window.partitionBy("_i").orderBy(*ordered))
     place = F.row_number().over(Window.partitionBy("_i", F.col("_v") > 0).orderBy(*ordered))
-    asked = queries.select(F.col(query_id).alias("q"), unit(F.col(embedding)).alias("e")).where("e is not null").toLocalIterator()
+    asked = with_known(queries.select(F.col(query_id).alias("q"), unit(F.col(embedding)).alias("e")), "e").toLocalIterator(prefetchPartitions=True)
     found = []
     while block := list(islice(asked, BLOCK)):
         own: dict = {}

@@ -263,7 +263,7 @@ def explain_scores(df: DataFrame, row_id: str, text: str, scorer: Scorer = Score
     keyed = F.array_sort(F.transform(both, lambda h, i: F.struct((-F.abs(h["valence"])).alias("size"), i.alias("i"), h.alias("h"))))
     placed = F.transform(keyed, lambda k, i: F.struct((i + 1).alias("place"), k["h"]["source"].alias("source"), k["h"]["token"].alias("token"),
                                                       k["h"]["valence"].alias("valence"), k["h"]["negated"].alias("negated")))
-    return scored.select(F.col("row_id").alias(row_id), "base", "adjustment", "score", "label", placed.alias("hits"))
+    return _once(scored, "hits", placed).select(F.col("row_id").alias(row_id), "base", "adjustment", "score", "label", "hits")
 
 
 def explain(df: DataFrame, row_id: str, text: str, scorer: Scorer = Scorer(), most: int | None = None) -> DataFrame:

@@ -41,11 +41,12 @@ n as (select * from n1 where ticker is not null and headline is not null and day
 
 
 def clean_news(spark: SparkSession, folder: str) -> DataFrame:
-    """News with ticker, headline and day, each id once."""
-    rows = with_known(days(spark, folder, "news", "news_id", "ticker", "headline", "feed"), "day").select(
+    """News with ticker, headline and day, each id once.  The one shuffle comes first, so that texts delivered again are
+    read and scored once and a file of few row groups doesn't hold that work in few tasks."""
+    rows = with_known(days(spark, folder, "news", "news_id", "ticker", "headline", "feed", once="news_id"), "day").select(
         "news_id", clean_ticker(F.col("ticker")).alias("ticker"), squeeze(F.col("headline")).alias("headline"), "feed",
         F.date_from_unix_date(F.col("day").cast("int")).alias("day"))
-    return rows.where("ticker is not null and headline is not null").dropDuplicates(["news_id"])
+    return rows.where("ticker is not null and headline is not null")
 
 
 #: A scorer of words and phrases without order, blanking and negation.

@@ -13,7 +13,7 @@ from tidewright.operators.point_in_time import match_as_of, with_attributes_as_o
 from tidewright.operators.timestamps import offset_intervals, read_days, read_times
 from tidewright.operators.trailing import each_day, latest_version, trailing_runs
 from tidewright.plans.registry import Catalogue
-from tidewright.runtime import with_known
+from tidewright.runtime import partitions, with_known
 from tidewright.sources.tables import table
 
 catalogue = Catalogue()
@@ -139,10 +139,15 @@ def p5_trailing_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sum(length).alias("days"), F.round(F.sum(F.col("total") * length), 6).alias("sum_of_totals"))
 
 
-def _with_feed(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table with the zone and day order of each row's feed; the feeds are a fixed dozen of rows."""
+def _with_feed(spark: SparkSession, folder: str, name: str, *columns: str, once: str | None = None) -> DataFrame:
+    """Columns of a table with the zone and day order of each row's feed; the feeds are a fixed dozen of rows.
+
+    With ``once`` each value of this column gives one row: rows are dealt by it before anything is read from their texts.
+    """
     feeds = table(spark, folder, "feeds").select(F.col("feed").alias("_feed"), "tz_name", "day_order")
-    rows = table(spark, folder, name).select(*columns, "feed")
+    rows = table(spark, folder, name).select(*dict.fromkeys([*columns, "feed"]))
+    if once:
+        rows = rows.repartition(partitions(spark), once).dropDuplicates([once])
     return rows.join(F.broadcast(feeds), F.col("feed") == F.col("_feed"), "left").drop("_feed")
 
 
@@ -152,9 +157,9 @@ def instants(spark: SparkSession, folder: str) -> DataFrame:
     return read_times(_with_feed(spark, folder, "news", "news_id", "date"), "date", F.col("day_order"), F.col("tz_name"), intervals)
 
 
-def days(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+def days(spark: SparkSession, folder: str, name: str, *columns: str, once: str | None = None) -> DataFrame:
     """Columns of ``news`` or ``prices`` with the ``day`` of each row's ``date_only``."""
-    return read_days(_with_feed(spark, folder, name, *columns, "date_only"), "date_only", F.col("day_order"))
+    return read_days(_with_feed(spark, folder, name, *columns, "date_only", once=once), "date_only", F.col("day_order"))
 
 
 def _norms(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:

@@ -13,6 +13,7 @@ from tidewright.operators.models import Classifier, Regressor
 from tidewright.plans import news_panel as N
 from tidewright.plans.news_panel import FULL, PLAIN, _r, _rounded
 from tidewright.plans.registry import Catalogue
+from tidewright.runtime import cut_lineage
 
 catalogue = Catalogue()
 
@@ -162,7 +163,7 @@ def q_top_hits(spark, folder):
 @catalogue.add("hinted_prompts")
 def q_hinted_prompts(spark, folder):
     """Hints from the lexicon for every headline whose id is divisible by 20, put into the prompt of its rewriting."""
-    news = N.clean_news(spark, folder).where("news_id % 20 = 0").select("news_id", "headline")
+    news = cut_lineage(N.clean_news(spark, folder).where("news_id % 20 = 0").select("news_id", "headline"))
     corpus = retrieval.hint_corpus(spark, FULL, retrieval.trigram_embedding)
     near = retrieval.nearest_terms(retrieval.embedded(news, "headline", retrieval.trigram_embedding), corpus, query_id="news_id", term="term",
                                    embedding="embedding", valence="valence", least=0.2)
