@@ -35,6 +35,13 @@ def test_signs_bounds_and_negation(spark):
     assert made[1].adjustment == pytest.approx(0.75) and made[1].score == pytest.approx(min(1, made[1].base + 0.75)) and made[2].hits == [] and made[2].score == 0.0
 
 
+def test_unit_vectors(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0, None]), (6, [1e-3] * 5000)], "i int, e array<double>")
+    got = {r.i: r.u for r in df.select("i", retrieval.unit(F.col("e")).alias("u")).collect()}
+    assert got[1] == pytest.approx([0.6, 0.8]) and got[2] is got[3] is got[4] is got[5] is None
+    assert len(got[6]) == 5000 and sum(x * x for x in got[6]) == pytest.approx(1.0)
+
+
 #: Headlines with the labels they should get; all but one must.
 GOLDEN = (("Apple beats earnings estimates, raises guidance", "positif"), ("The company announced record revenue and a dividend hike", "positif"),
           ("Stock buyback programme worth $10 billion approved", "positif"), ("The company reported a loss and issued a profit warning", "négatif"),

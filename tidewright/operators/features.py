@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewright.functions import wordlists as W
 from tidewright.functions.safe import finite, skew0, std0
-from tidewright.runtime import require_columns
+from tidewright.runtime import cut_lineage, require_columns
 
 #: Feature columns of a cell, in order (fixed values).
 SENTIMENT_COLUMNS = ("n_articles", "n_positive_articles", "n_negative_articles", "n_neutral_articles", "news_burst", "mean_score",
@@ -18,15 +18,16 @@ def sentiment_features(news: DataFrame, ticker: str = "ticker", period: str = "p
     """Counts, centre, spread, skewness and balance of the scores of each cell, in one aggregation.
 
     ``news_burst`` marks cells with more articles than the quantile over all cells (over the aggregated
-    table); a threshold of 0 or none counts as 1.
+    table); a threshold of 0 or none counts as 1.  The cells are written once: both the threshold and the result
+    need them, and what made the scores isn't run twice.
     """
     require_columns(news, ticker, period, score, labelled)
     s, lab = F.col(score), F.col(labelled)
-    cells = news.groupBy(ticker, period).agg(
+    cells = cut_lineage(news.groupBy(ticker, period).agg(
         F.count(F.lit(1)).alias("n_articles"),
         *[F.count_if(lab == v).cast("int").alias(f"n_{n}_articles") for n, v in (("positive", W.POSITIVE), ("negative", W.NEGATIVE), ("neutral", W.NEUTRAL))],
         F.avg(s).alias("mean_score"), F.median(s).alias("median_score"), std0(s).alias("std_score"),
-        F.coalesce(F.max(s) - F.min(s), F.lit(0.0)).alias("score_range"), skew0(s).alias("score_skew"))
+        F.coalesce(F.max(s) - F.min(s), F.lit(0.0)).alias("score_range"), skew0(s).alias("score_skew")))
     threshold = cells.agg(F.percentile("n_articles", burst_quantile).alias("_q")).select(F.coalesce(F.nullif("_q", F.lit(0.0)), F.lit(1.0)).alias("_q"))
     part = lambda n: F.col(f"n_{n}_articles") / F.col("n_articles")
     return cells.join(F.broadcast(threshold)).withColumns({
